@@ -33,7 +33,7 @@ SYMBOLS = "#*$%&|<>"
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 SPACES = " \t\n\x0b\x0c\r"
 
-CLASS_LIMIT = 0.25
+CLASS_LIMIT = 0.30
 WORD_LIMIT = 0.40
 LEAST_CHARS = 200
 LEAST_WORDS = 50

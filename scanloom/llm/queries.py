@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import bpe, quality_rules, sharding, url_filter
+from scanloom.llm import bpe, decontam, line_dedup, quality_rules, sharding, url_filter, warc_zip
 
 URL_RULES = [
     url_filter.Rule("allow", "com", "/"),
@@ -49,6 +49,31 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontam.find(docs, table(spark, sf_dir, "benchmark"))
+    found = F.col("found")
+    return out.select(
+        "doc_id",
+        found.n_words.alias("n_words"),
+        decontam.hit_words(found).alias("n_hit"),
+        F.size(found["items"]).cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", F.array_sort(found["items"])).cast("binary"), 256).alias("items_sha256"),
+        decontam.is_contaminated(found).alias("contaminated"),
+    )
+
+
+def op7_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc_zip.round_trip(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), kept.alias("kept_sha256"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scanloom.llm.shared import steady
+
 #: Slots of a cell, as far as MOST_CELLS allows; larger cells only make the sort within a cell spill.
 CELL_ROWS = 20_000
 MOST_CELLS = 1_536
@@ -84,9 +86,7 @@ def shuffle_to_shards(rows: DataFrame, shards: int, seed: int = 0, shard: str =
 
     Columns of these names are replaced.  An empty input gives an empty output.  Repeated rows are rows of their own.
     """
-    rows = rows.drop(shard, slot)
-    if "Exchange" in rows._jdf.queryExecution().executedPlan().toString():
-        rows = rows.checkpoint()
+    rows = steady(rows.drop(shard, slot))
     counts = rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
     sizes = np.zeros(max((r.p for r in counts), default=0) + 1, np.int64)
     for r in counts:
