@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import bpe, decontam, line_dedup, quality_rules, sharding, url_filter, warc_zip
+from scanloom.llm import bpe, decontam, line_dedup, minhash, quality_rules, sharding, url_filter, warc_zip
 
 URL_RULES = [
     url_filter.Rule("allow", "com", "/"),
@@ -68,6 +68,12 @@ def op7_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = minhash.cluster(table(spark, sf_dir, "documents").select("doc_id", "text"), words=2)
+    kept = F.col("doc").eqNullSafe(F.col("component"))
+    return out.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), kept.alias("kept"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kept = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
