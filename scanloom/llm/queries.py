@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import bpe, decontam, line_dedup, minhash, quality_rules, sharding, url_filter, warc_zip
+from scanloom.llm import bpe, decontam, line_dedup, minhash, quality_rules, sharding, suffix_dedup, url_filter, warc_zip
 
 URL_RULES = [
     url_filter.Rule("allow", "com", "/"),
@@ -49,6 +49,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"], digests=True)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontam.find(docs, table(spark, sf_dir, "benchmark"))
