@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import bpe, decontam, line_dedup, minhash, quality_rules, sharding, suffix_dedup, url_filter, warc_zip
+from scanloom.llm import bpe, decontam, line_dedup, minhash, quality_knn, quality_rules, sharding, suffix_dedup, url_filter, warc_zip
 
 URL_RULES = [
     url_filter.Rule("allow", "com", "/"),
@@ -49,6 +49,15 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    labels = table(spark, sf_dir, "labels").filter(~held_out)
+    out = quality_knn.score(docs, quality_knn.fit(docs, labels, "doc_id", "text", "quality"))
+    predicted = F.when(F.col("score") >= quality_knn.PREDICT_AT, 1).otherwise(0)
+    return out.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"], digests=True)
 
