@@ -23,7 +23,7 @@ def quality_sql() -> str:
     refs = rules.references()
     common = sorted({w for _, words, _ in refs.values() for w in words})
     drop = lambda chars: f"length(t) - length(translate(t, {_quote(chars)}, ''))"
-    hits = ", ".join(f"len(list_filter(short, lambda w: w = '{w}')) AS h{k}" for k, w in enumerate(common))
+    hits = ", ".join(f"len(list_filter(words, lambda w: w IN ('{w}', '{w.capitalize()}'))) AS h{k}" for k, w in enumerate(common))
     near = []
     for classes, own, shares in refs.values():
         a = _js([f"(CAST({x} AS DOUBLE) / word_chars)" for x in ("lower_", "upper_", "digit", "punct", "other", "beyond")], classes)
@@ -51,12 +51,11 @@ m AS (
     CAST(length(regexp_replace(t, '{SPACE}', '', 'g')) AS BIGINT) AS word_chars,
     CAST({drop(rules.SYMBOLS)} AS BIGINT) AS n_symbols,
     CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words,
-    {drop(rules.LOWER)} AS lower_, {drop(rules.UPPER)} AS upper_, {drop(rules.DIGITS)} AS digit, {drop(rules.PUNCTUATION)} AS punct,
-    length(t) - length(regexp_replace(t, '[^\x00-\x7F]', '', 'g')) AS beyond,
-    list_transform(list_filter(words, lambda x: length(x) <= 6), lambda x: translate(translate(x, '{rules.UPPER}', '{rules.LOWER}'), {_quote(rules.PUNCTUATION)}, '')) AS short
+    length(t) - length(regexp_replace(t, '[a-z]', '', 'g')) AS lower_, {drop(rules.UPPER)} AS upper_, {drop(rules.DIGITS)} AS digit, {drop(rules.PUNCTUATION)} AS punct,
+    strlen(t) - length(t) AS beyond, words
   FROM w LEFT JOIN c USING (rid) LEFT JOIN l USING (rid)
 ),
-h AS (SELECT *, word_chars - lower_ - upper_ - digit - punct - beyond AS other, {hits} FROM m),
+h AS (SELECT *, greatest(word_chars - lower_ - upper_ - digit - punct - beyond, 0) AS other, {hits} FROM m),
 n AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, list_min([{near_list}]) AS near FROM h)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND coalesce(near.a, 0.0) <= {rules.CLASS_LIMIT} AND coalesce(near.b, 0.0) <= {rules.WORD_LIMIT} AS kept
