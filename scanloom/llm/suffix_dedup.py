@@ -32,9 +32,9 @@ from scanloom.llm.shared import cut, steady
 
 WIN = 400
 K = 128
-PIECE = 1 << 20
+PIECE = 1 << 18
 BLOCK_BYTES = 1 << 20
-MOST_BYTES = 4 << 20
+MOST_BYTES = 2 << 20
 
 
 def pieces(texts: list[bytes], win: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -126,9 +126,10 @@ class RunIndex:
         self.runs = len(heads)
         heads = heads[heads > 0]
         # Ends of runs: the first place of a run with its predecessor, and the last of the run before with its successor.
-        self.samples = np.concatenate([order[heads], order[heads - 1]])
-        self.partners = np.concatenate([order[heads - 1], order[heads]])
-        half = self._match(self.samples[: len(heads)], self.partners[: len(heads)])
+        here, before = order[heads].astype(np.int64), order[heads - 1].astype(np.int64)
+        del order, last, head, heads
+        self.samples = np.concatenate([here, before])
+        half = self._match(here, before)
         self.matches = np.concatenate([half, half])
 
     def _suffix_order(self) -> np.ndarray:
@@ -138,16 +139,18 @@ class RunIndex:
         padded = np.concatenate([self.text.astype(np.int64) + 1, np.zeros(size, np.int64)])  # what lies beyond the end is least
         for k in range(size):
             key = (key << 9) | padded[k : k + n]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key, kind="stable").astype(np.int32)
+        key = key[order]
         new = np.ones(n, bool)
-        new[1:] = key[order][1:] != key[order][:-1]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]  # the place of the group's first member
+        new[1:] = key[1:] != key[:-1]
+        del key, padded
+        rank = np.empty(n, np.int32)
+        rank[order] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))  # the place of the group's first member
         while not new.all():
             alone = new & np.append(new[1:], True)
-            at = np.flatnonzero(~alone)
+            at = np.flatnonzero(~alone).astype(np.int32)
             own = order[at]
-            beyond = np.where(own + size < n, rank[np.minimum(own + size, n - 1)], -1)
+            beyond = np.where(own.astype(np.int64) + size < n, rank[np.minimum(own.astype(np.int64) + size, n - 1)], -1)
             group = rank[own]
             fine = np.argsort(group * np.int64(n + 1) + beyond + 1, kind="stable")
             order[at], group, beyond = own[fine], group[fine], beyond[fine]
@@ -186,10 +189,10 @@ class RunIndex:
     def statistics(self) -> np.ndarray:
         """For each place, the longest match with another place, up to the end of its part."""
         n = len(self.text)
-        reach = np.zeros(n, np.int64)
-        np.maximum.at(reach, self.samples, self.samples + self.matches)
-        end = np.repeat(self.first[1:] - 1, np.diff(self.first))
-        return np.maximum(np.minimum(np.maximum.accumulate(reach), end) - np.arange(n), 0)
+        reach = np.zeros(n, np.int32)
+        np.maximum.at(reach, self.samples, (self.samples + self.matches).astype(np.int32))
+        end = np.repeat((self.first[1:] - 1).astype(np.int32), np.diff(self.first))
+        return np.maximum(np.minimum(np.maximum.accumulate(reach), end) - np.arange(n, dtype=np.int32), 0)
 
     def repeated(self, win: int) -> Iterator[list[tuple[int, int]]]:
         """For each part, the ranges of places from which win bytes occur elsewhere."""
