@@ -21,6 +21,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import ahocorasick
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -211,7 +212,7 @@ def decode(encoded: DataFrame, vocabulary: str, column: str = "ids") -> DataFram
     """Adds decoded: the text of binary ids."""
 
     @F.pandas_udf("string")
-    def said(batches):
+    def said(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bpe = loaded(vocabulary)
         for batch in batches:
             yield batch.map(lambda x: bpe.decode(bytes(x)) if x is not None else None)

@@ -1,0 +1,50 @@
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from scanloom.llm import sharding as S
+
+
+def test_matrix_margins_are_exact():
+    sizes, room = np.array([5, 0, 17, 1, 9, 3]), np.array([7, 7, 7, 7, 7])
+    matrix = np.array([S.matrix_row(sizes, room, p, 3) for p in range(len(sizes))])
+    assert (matrix.sum(axis=1) == sizes).all() and (matrix.sum(axis=0) == room).all() and (matrix >= 0).all()
+
+
+def test_hypergeometric_has_its_law():
+    rng = np.random.default_rng(5)
+    for good, bad, drawn in [(5, 7, 6), (40, 3, 20), (1, 1, 1), (100, 900, 50)]:
+        got = Counter(S.hypergeometric(rng, good, bad, drawn) for _ in range(20_000))
+        want = Counter(np.random.default_rng(6).hypergeometric(good, bad, drawn, 20_000).tolist())
+        for k in {*got, *want}:
+            assert abs(got[k] - want[k]) < 6 * (max(want[k], 30) ** 0.5)
+    big = [S.hypergeometric(rng, 10**12, 3 * 10**12, 10**9) for _ in range(200)]
+    assert abs(np.mean(big) / 2.5e8 - 1) < 1e-4
+
+
+@pytest.mark.parametrize("n, shards", [(0, 24), (5, 24), (1000, 24), (777, 5)])
+def test_shards(spark, monkeypatch, n, shards):
+    monkeypatch.setattr(S, "CELL_ROWS", 20)
+    df = spark.createDataFrame([(k % 3, None if k % 5 == 0 else "same", 9) for k in range(n)], "doc_id long, text string, shard int").repartition(7)
+    out = S.shuffle_to_shards(df, shards, seed=1)
+    rows = out.collect()
+    assert out.columns == ["doc_id", "text", "shard", "slot"] and len(rows) == n
+    assert Counter((r.doc_id, r.text) for r in rows) == Counter((r.doc_id, r.text) for r in df.collect())
+    slots = {}
+    for r in rows:
+        slots.setdefault(r.shard, []).append(r.slot)
+    sizes = [len(slots.get(k, [])) for k in range(shards)]
+    assert sum(sizes) == n and max(sizes) - min(sizes) <= 1
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
+def test_uniform_and_repeatable(spark):
+    df = spark.range(2000)
+    a, b, c = ({r.id: (r.shard, r.slot) for r in S.shuffle_to_shards(df, 4, seed).collect()} for seed in (1, 1, 2))
+    assert a == b != c
+    x = np.array([a[k][0] for k in range(2000)])
+    table = np.array([[(x[p * 500 : (p + 1) * 500] == s).sum() for s in range(4)] for p in range(4)])
+    assert abs(table - 125).max() < 60
+    slots = np.array([a[k][1] for k in range(2000)])
+    assert abs(np.corrcoef(np.arange(2000), slots)[0, 1]) < 0.1
