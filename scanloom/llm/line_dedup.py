@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scanloom.llm.shared import cut
+
 LEAST_CHARS = 40
 LEAST_DOCS = 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -53,6 +55,7 @@ def keep_bitmaps(docs: DataFrame, doc: str = "doc_id", text: str = "text", least
     each = lines.groupBy("h1", "h2", "doc").agg(F.lit(1).alias("one"))
     common = each.groupBy("h1", "h2").agg(F.count("one").alias("n_docs"), F.max("doc").alias("keeper")).filter(F.col("n_docs") >= least_docs)
     ordered = ["h1", "h2", F.desc_nulls_last("doc"), "pos"]
+    common = cut(common, small=True)  # apart from the lines' own exchange, so that a hot hash can be split where they are joined
     spread = lines.join(common, ["h1", "h2"]).repartitionByRange(*ordered).sortWithinPartitions(*ordered)
     kind = lines.schema["doc"].dataType.simpleString()
     marked = spread.select("doc", "th", "pos", "keeper").mapInArrow(stream_marks, f"doc {kind}, th long, pos int")
