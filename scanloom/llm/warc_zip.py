@@ -120,6 +120,7 @@ def with_originals(pages: DataFrame, page: str, payload: str, least: int) -> Dat
     raw = F.coalesce(F.col(f"`{payload}`"), F.lit("")).cast("binary")
     rows = pages.withColumns({"__raw": raw, "__digest": F.sha2(raw, 256), "__rank": F.struct(F.col(f"`{page}`").isNull().alias("none"), F.col(f"`{page}`").alias("id"), F.monotonically_increasing_id().alias("row"))})
     first = rows.filter(F.octet_length("__raw") >= least).groupBy("__digest").agg(F.min("__rank").alias("__first"), F.count(F.lit(1)).alias("__n")).filter("__n > 1").drop("__n")
+    first = cut(first, small=True)  # apart from the pages' own exchange, so that a payload with very many copies can be split
     both = rows.join(first.withColumnRenamed("__digest", "__d"), F.col("__digest") == F.col("__d"), "left").drop("__d")
     again = F.col("__first").isNotNull() & (F.col("__rank") != F.col("__first"))
     return both.withColumn("__original", F.when(again, F.coalesce(F.col("__first.id").cast("string"), F.lit("")))).drop("__rank", "__first")
