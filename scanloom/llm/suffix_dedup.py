@@ -243,7 +243,8 @@ def find(docs: DataFrame, text: str, win: int, k: int) -> DataFrame:
 
     every = source.mapInArrow(cut_up, "rid long, key long, content long, start long, windows long, again boolean")
     twice = every.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again")).filter("n > 1 or again").select("key")
-    some = cut(every.join(twice, "key"))
+    # Tables that are written before a join have an exchange of their own there, so that a hot key can be split.
+    some = cut(every.join(cut(twice, small=True), "key"))
     each = some.groupBy("key", "content").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again"), F.min(F.struct("rid", "start", "windows")).alias("at"))
     each = cut(each.select("key", "content", "n", "again", "at.*"))
     several = each.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.max("again").alias("again"), F.sum(F.col("windows") + (win - 1)).alias("size")).filter("m > 1 or again")
@@ -282,7 +283,7 @@ def mark_hot(parts: DataFrame, win: int) -> DataFrame:
     every = parts.select("key", "content", "data").mapInArrow(windows, "key long, content long, at long, w1 long, w2 long")
     twice = every.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w1", "w2")
     span = F.struct(F.col("at").alias("a"), (F.col("at") + 1).alias("b"))
-    return every.join(twice, ["w1", "w2"]).groupBy("key", "content").agg(F.sort_array(F.collect_list(span)).alias("spans"))
+    return every.join(cut(twice, small=True), ["w1", "w2"]).groupBy("key", "content").agg(F.sort_array(F.collect_list(span)).alias("spans"))
 
 
 def covered(spans: list[dict], win: int) -> list[tuple[int, int]]:
