@@ -14,16 +14,19 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star rounds; each halves long chains, and its edges are written, so
     that the plan stays short.  Minima are pre-aggregated before the shuffle; a hub costs no more than its edges.
     """
-    now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
-    while True:
+    now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), small=True)
+    while not is_done(now):
         both = now.select(F.col("v").alias("x"), F.col("u").alias("y")).unionByName(now.select(F.col("u").alias("x"), F.col("v").alias("y")))
         least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
         large = both.filter("y > x").join(least, "x").select(F.col("y").alias("v"), F.col("m").alias("u")).distinct()
         below = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(below, "v").select(F.explode(F.array(F.struct("v", F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e")).select("e.*").filter("v <> u").distinct()
-        after = cut(small)
-        moved = after.join(now, ["v", "u"], "left_anti").limit(1).count() or now.join(after, ["v", "u"], "left_anti").limit(1).count()
-        now = after
-        if not moved:
-            break
+        now = cut(small, small=True)
     return now.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(now.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
+
+
+def is_done(edges: DataFrame) -> bool:
+    """Whether each v has one u, and no u is a v: then the edges are stars."""
+    several = edges.groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1)
+    inner = edges.select("v").join(edges.select(F.col("u").alias("v")), "v", "left_semi").limit(1)
+    return not several.count() and not inner.count()

@@ -5,10 +5,13 @@ first round that reached it.  After T rounds, T more each serve one bin with all
 coordinate is filled; coordinates agree with the probability of the Jaccard similarity, and as concentrated
 as full MinHash.  BANDS bands of ROWS coordinates find a pair at similarity 0.8 but for odds of 1e-7.
 
-Texts with equal shingle sets are one class; only classes are compared.  A bucket (equal band) is no list
-of pairs: its members are verified against one leader, in two steps, and only where members then still
-belong to several components, the pairs between components that sizes and the triangle inequality leave open
-are verified too.  Links are confirmed on full sets (64-bit hashes of shingles).  Nothing is capped.
+Texts with equal shingle sets are one class; only classes are compared.  For each class in a bucket (equal
+band) it is counted how many of its shingles no other such class has.  That bounds the similarity of every
+pair from above, so classes with too many of their own are out, and of the others those with the fewest lead
+their buckets.  Members are verified against the leader they meet most often, and where a bucket then still
+holds several components, against the centre of its leader's.  Where components then remain, members outside
+the centre's meet the others of that centre, compared by what they differ in from it, in bounded cells.  Links are confirmed on full sets (64-bit hashes of shingles).  Nothing is capped, and
+no bucket is spread out into its pairs.
 
 Empty sets are linked with nothing.  Rows are documents of their own; a null doc_id counts as the largest.
 """
@@ -19,16 +22,19 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.llm import textops
 from scanloom.llm.graph import components
-from scanloom.llm.shared import cut
+from scanloom.llm.shared import cut, steady
 
 BANDS, ROWS = 40, 5
 T = BANDS * ROWS
+#: Members on each side of a cell.
+BLOCK = 512
 #: A set of fewer shingles is within 0.8 of no other set.
 LEAST_SET = 4
 _SEEDS = textops.mix(np.arange(1, 2 * T + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
@@ -69,7 +75,7 @@ def sets_of(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
 
 
 def describe(docs: DataFrame, doc: str, text: str, words: int) -> DataFrame:
-    """doc, th (hash of the text), n (size of the set), c1, c2 (hash of the set) and bands of every row."""
+    """rid, doc, n (size of the set), c1, c2 (hash of the set) and bands of every row. docs has rid."""
     kind = docs.schema[doc].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,13 +87,13 @@ def describe(docs: DataFrame, doc: str, text: str, words: int) -> DataFrame:
                     first.append(int(textops.mix(own).sum(dtype=np.uint64).view(np.int64)))
                     second.append(int(textops.mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
                     keys.append(bands(own).view(np.int64) if len(own) >= LEAST_SET else [])
-                yield pa.RecordBatch.from_arrays([batch["doc"], batch["th"], pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc", "th", "n", "c1", "c2", "bands"])
+                yield pa.RecordBatch.from_arrays([batch["rid"], batch["doc"], pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["rid", "doc", "n", "c1", "c2", "bands"])
 
-    source = docs.select(F.col(f"`{doc}`").alias("doc"), F.xxhash64(F.col(f"`{text}`")).alias("th"), F.col(f"`{text}`").alias("text"))
-    return source.mapInArrow(run, f"doc {kind}, th long, n long, c1 long, c2 long, bands array<long>")
+    source = docs.select("rid", F.col(f"`{doc}`").alias("doc"), F.col(f"`{text}`").alias("text"))
+    return source.mapInArrow(run, f"rid long, doc {kind}, n long, c1 long, c2 long, bands array<long>")
 
 
-def full_sets(nodes: DataFrame, rows: DataFrame, docs: DataFrame, doc: str, text: str, words: int) -> DataFrame:
+def full_sets(nodes: DataFrame, docs: DataFrame, text: str, words: int) -> DataFrame:
     """node and its whole set, from the text of the row that stands for the class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,10 +101,21 @@ def full_sets(nodes: DataFrame, rows: DataFrame, docs: DataFrame, doc: str, text
             for batch in textops.slices(whole, "text"):
                 yield pa.RecordBatch.from_arrays([batch["node"], pa.array([own.tobytes() for own in sets_of(textops.texts_of(batch["text"]), words)], pa.binary())], ["node", "set"])
 
-    texts = docs.select(F.col(f"`{doc}`").alias("d"), F.xxhash64(F.col(f"`{text}`")).alias("t"), F.col(f"`{text}`").alias("text"))
-    which = rows.join(nodes, F.col("rid") == F.col("node"), "inner").select("node", "doc", "th")
-    both = texts.join(which, F.col("d").eqNullSafe(F.col("doc")) & (F.col("t") == F.col("th"))).select("node", "text")
-    return both.mapInArrow(run, "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))
+    texts = docs.select(F.col("rid").alias("node"), F.col(f"`{text}`").alias("text"))
+    return texts.join(nodes, "node").select("node", "text").mapInArrow(run, "node long, set binary")
+
+
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """node and own: how many of its shingles no other of the sets has. Nodes without any are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, items in zip(batch["node"].to_pylist(), batch["set"]):
+                own = np.frombuffer(items.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), node, np.int64)), pa.array(own)], ["node", "g"])
+
+    once = sets.mapInArrow(run, "node long, g long").groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).filter("n = 1")
+    return once.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -122,67 +139,146 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, shared long, joint long")
 
 
+def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, centre, n, n_centre, shared, and differ: what only one of the two sets has, for pairs (node, centre)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, n_centre, shared, differ = [], [], [], []
+            for k in range(batch.num_rows):
+                x, y = (np.frombuffer(batch[c][k].as_buffer(), np.uint64) for c in ("sa", "sb"))
+                apart = np.setxor1d(x, y, assume_unique=True)
+                n.append(len(x))
+                n_centre.append(len(y))
+                shared.append((len(x) + len(y) - len(apart)) // 2)
+                differ.append(apart.tobytes())
+            numbers = [pa.array(c, pa.int64()) for c in (n, n_centre, shared)]
+            yield pa.RecordBatch.from_arrays([batch["node"], batch["centre"], *numbers, pa.array(differ, pa.binary())], ["node", "centre", "n", "n_centre", "shared", "differ"])
+
+    left = sets.select("node", F.col("set").alias("sa"))
+    right = sets.select(F.col("node").alias("centre"), F.col("set").alias("sb"))
+    both = pairs.join(right, "centre").join(left, "node").select("node", "centre", "sa", "sb")
+    return both.mapInArrow(run, "node long, centre long, n long, n_centre long, shared long, differ binary")
+
+
+def links_by_centre(told: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components, for members (node, centre, n, n_centre, shared, differ, root, main) of centres.
+
+    With d common elements of two members' differences from their centre, the members themselves share
+    shared_x + shared_y - n_centre + d, exactly.  Members outside the centre's component (main) meet all of that
+    centre, in cells of at most about BLOCK by BLOCK; of each member's links to one component, one comes back.
+    """
+    sizes = told.groupBy("centre").agg(F.count(F.lit(1)).alias("ny"), F.count(F.when(F.col("root") != F.col("main"), 1)).alias("nx")).filter("nx > 0")
+    parts = lambda n: F.ceil(F.col(n) / BLOCK).cast("long")
+    sizes = cut(sizes.select("centre", parts("nx").alias("bx"), parts("ny").alias("by")), small=True)
+    rows = told.join(sizes, "centre")
+    own = lambda b: F.pmod(F.xxhash64("node"), F.col(b))
+    all_ = lambda b: F.explode(F.sequence(F.lit(0).cast("long"), F.col(b) - 1))
+    kept = ["centre", "node", "n", "n_centre", "shared", "differ", "root"]
+    x = rows.filter("root <> main").select(*kept, F.lit(True).alias("out"), own("bx").alias("cx"), all_("by").alias("cy"))
+    y = rows.select(*kept, F.lit(False).alias("out"), own("by").alias("cy"), all_("bx").alias("cx"))
+
+    def meet(cell: pd.DataFrame) -> pd.DataFrame:
+        x, y = cell[cell["out"]], cell[~cell["out"]].reset_index(drop=True)
+        found: list[tuple[int, int]] = []
+        if len(x) and len(y):
+            sets = [np.frombuffer(d, np.uint64) for d in y["differ"]]
+            items, owner = np.concatenate(sets), np.repeat(np.arange(len(y)), [len(s) for s in sets])
+            order = np.argsort(items, kind="stable")
+            items, owner = items[order], owner[order]
+            n, shared, root = y["n"].to_numpy(), y["shared"].to_numpy(), y["root"].to_numpy()
+            for r in x.itertuples():
+                wanted = np.frombuffer(r.differ, np.uint64)
+                low, high = np.searchsorted(items, wanted), np.searchsorted(items, wanted, side="right")
+                hit = [owner[a:b] for a, b in zip(low, high) if b > a]
+                common = np.bincount(np.concatenate(hit), minlength=len(y)) if hit else np.zeros(len(y), np.int64)
+                both = r.shared + shared - r.n_centre + common
+                linked = np.flatnonzero((100 * both >= percent * (r.n + n - both)) & (root != r.root))
+                for k in linked[np.unique(root[linked], return_index=True)[1]]:
+                    found.append((r.node, int(y["node"][k])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return x.unionByName(y).groupBy("centre", "cx", "cy").applyInPandas(meet, "a long, b long")
+
+
+def may_link(na: str, oa: str, nb: str, ob: str, percent: int) -> Column:
+    """Whether sets of these sizes, with so many shingles of their own, can be similar enough."""
+    most = F.least(F.col(na) - F.col(oa), F.col(nb) - F.col(ob))
+    return 100 * most >= percent * (F.col(na) + F.col(nb) - most)
+
+
+def with_root(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Adds root, the node itself where it has no links."""
+    return rows.join(roots.withColumnRenamed("node", "__r"), F.col("node") == F.col("__r"), "left").withColumn("root", F.coalesce("root", "node")).drop("__r")
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """With rid, the same number for a row whenever it is read."""
+    return steady(docs).withColumn("rid", F.monotonically_increasing_id())
+
+
 def cluster(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """doc, th, n_shingles and component (the least doc of the component) of every row.
+    """rid, doc, n_shingles and component (the least doc of the component) of every row of docs, which has rid.
 
     Rows of documents are linked if 100 * shared >= percent * joint; percent must be 80 or more.
     """
     if percent < 80:
         raise ValueError("bands and sizes are made for 80 percent and more")
-    rows = cut(describe(docs, doc, text, words)).withColumn("rid", F.monotonically_increasing_id())
+    rows = cut(describe(docs, doc, text, words))
     classes = rows.filter("n > 0").groupBy("c1", "c2").agg(F.min("rid").alias("node"), F.min("doc").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     keyed = classes.select("node", "n", F.explode("bands").alias("h"))
-    leaders = keyed.groupBy("h").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("members")).filter("members > 1").select("h", "leader")
-    hits = cut(keyed.join(leaders, "h"))
-    sets = cut(full_sets(hits.select("node").distinct(), rows.select("rid", "doc", "th"), docs, doc, text, words))
+    # Tables that are written before a join have an exchange of their own there, so that a hot key can be split.
+    several = cut(keyed.groupBy("h").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("h"), small=True)
+    met = cut(keyed.join(several, "h"))
+    sets = cut(full_sets(met.select("node").distinct(), docs, text, words))
+
+    own = cut(own_shingles(sets), small=True)
+    hits = met.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0))).filter(f"100 * (n - own) >= {percent} * n")
+    hits = cut(hits)
+    leaders = hits.groupBy("h").agg(F.min(F.struct("own", "node", "n")).alias("l"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    leaders = cut(leaders.select("h", F.col("l.node").alias("leader"), F.col("l.n").alias("ln"), F.col("l.own").alias("lo")), small=True)
+    hits = cut(hits.join(leaders, "h"))
 
     link = F.expr(f"100 * shared >= {percent} * joint")
-    stars = hits.filter("node <> leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("times"))
+    stars = hits.filter("node <> leader").filter(may_link("n", "own", "ln", "lo", percent)).groupBy("node", "leader", "lo").agg(F.count(F.lit(1)).alias("times"))
     # First the leader that a member meets most often.
-    best = stars.groupBy("node").agg(F.max(F.struct("times", (-F.col("leader")).alias("least"))).alias("m")).select(F.col("node").alias("a"), (-F.col("m.least")).alias("b"))
-    links = cut(verify(best, sets))
+    best = stars.groupBy("node").agg(F.max(F.struct("times", (-F.col("lo")).alias("lo"), "leader")).alias("m")).select(F.col("node").alias("a"), F.col("m.leader").alias("b"))
+    links = cut(verify(best, sets), small=True)
     edges = links.filter(link).select("a", "b")
     roots = components(edges)
 
-    # Then all members of buckets that hold several components, against the bucket's leader.
-    placed = hits.join(roots.withColumnRenamed("node", "r"), F.col("node") == F.col("r"), "left").select("h", "node", "n", "leader", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("h")
-    open_ = cut(placed.join(mixed, "h", "left_semi"))
-    more = open_.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    known = links.unionByName(verify(more.join(links, ["a", "b"], "left_anti"), sets))
-    known = cut(known)
-    edges = cut(known.filter(link).select("a", "b"))
+    # Then all members of buckets that hold several components, against one centre: in the component of the
+    # bucket's leader the member with the fewest shingles of its own.
+    placed = with_root(hits, roots)
+    centres = placed.groupBy("root").agg(F.min(F.struct("own", "node", "n")).alias("c")).select(F.col("root").alias("main"), F.col("c.node").alias("centre"))
+    mixed = placed.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max(F.when(F.col("node") == F.col("leader"), F.col("root"))).alias("main")).filter("x <> y").select("h", "main")
+    mixed = cut(mixed.join(centres, "main").select("h", "centre"), small=True)
+    open_ = hits.select("h", "node").join(mixed, "h")
+    met = open_.filter("node <> centre").select("node", "centre").distinct()
+    told = cut(differences(met, sets))
+    edges = cut(edges.unionByName(told.filter(f"100 * shared >= {percent} * (n + n_centre - shared)").select(F.col("node").alias("a"), F.col("centre").alias("b"))), small=True)
     roots = components(edges)
 
-    # Last the pairs between components that are still open.
-    far = known.select(F.col("a").alias("ka"), F.col("b").alias("kb"), (1 - F.col("shared") / F.col("joint")).alias("far"))
-    told = open_.drop("root").join(far, (F.col("node") == F.col("ka")) & (F.col("leader") == F.col("kb")), "left").withColumn("far", F.when(F.col("node") == F.col("leader"), 0.0).otherwise(F.col("far"))).drop("ka", "kb")
-    told = told.join(roots.withColumnRenamed("node", "r"), F.col("node") == F.col("r"), "left").withColumn("root", F.coalesce("root", "node")).drop("r")
-    main = told.filter("node = leader").select("h", F.col("root").alias("main"))
-    told = cut(told.join(main, "h"))
-    x = told.filter("root <> main").select("h", F.col("node").alias("a"), F.col("n").alias("na"), F.col("far").alias("fa"), F.col("root").alias("ra"))
-    y = told.filter("node <> leader").select("h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("far").alias("fb"), F.col("root").alias("rb"), F.col("main").alias("mb"))
-    slack = (100 - percent) / 100 + 1e-9
-    near = (F.abs(F.col("fa") - F.col("fb")) <= slack) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    once = (F.col("rb") == F.col("mb")) | (F.col("a") < F.col("b"))
-    rest = x.join(y, (x.h == y.h) & (F.col("ra") != F.col("rb")) & near & once).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    rest = verify(rest.join(known, ["a", "b"], "left_anti"), sets).filter(link).select("a", "b")
+    # Last the pairs between the components that remain, by what members differ in from their centre.
+    main = roots.select(F.col("node").alias("centre"), F.col("root").alias("main"))
+    told = with_root(told, roots).join(main, "centre", "left").withColumn("main", F.coalesce("main", "centre"))
+    rest = links_by_centre(told, percent)
     roots = components(edges.unionByName(rest))
 
-    named = classes.select("c1", "c2", "node", "least").join(roots.withColumnRenamed("node", "r"), F.col("node") == F.col("r"), "left").withColumn("root", F.coalesce("root", "node")).drop("r")
-    named = cut(named)
+    named = cut(with_root(classes.select("c1", "c2", "node", "least"), roots))
     least = named.groupBy("root").agg(F.min("least").alias("component"))
-    named = named.join(least, "root").select("c1", "c2", F.col("component"), F.lit(True).alias("linked"))
-    out = rows.drop("bands", "rid").join(named, ["c1", "c2"], "left")
-    return out.select("doc", "th", F.col("n").alias("n_shingles"), F.when(F.col("linked"), F.col("component")).otherwise(F.col("doc")).alias("component"))
+    named = named.join(least, "root").select("c1", "c2", "component", F.lit(True).alias("linked"))
+    out = rows.drop("bands").join(named, ["c1", "c2"], "left")
+    return out.select("rid", "doc", F.col("n").alias("n_shingles"), F.when(F.col("linked"), F.col("component")).otherwise(F.col("doc")).alias("component"))
 
 
 def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component: the one with the least doc_id; of rows that share it, all.
+    """One row of each component, with its own columns: the first of those with the least doc_id.
 
-    A component of rows without doc_id keeps its rows.
+    Rows with an empty set are components of their own, so all stay.
     """
-    found = cluster(docs, doc, text, words, percent)
-    kept = found.filter(F.col("doc").eqNullSafe(F.col("component"))).select(F.col("doc").alias("__d"), F.col("th").alias("__t")).distinct()
-    own = docs.withColumn("__th", F.xxhash64(F.col(f"`{text}`")))
-    return own.join(kept, own[doc].eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__t")), "left_semi").drop("__th")
+    own = numbered(docs)
+    found = cluster(own, doc, text, words, percent)
+    first = found.filter((F.col("n_shingles") > 0) & F.col("doc").eqNullSafe(F.col("component"))).groupBy("component").agg(F.min("rid").alias("rid")).select("rid")
+    kept = first.unionByName(found.filter("n_shingles = 0").select("rid"))
+    return own.join(kept, "rid", "left_semi").drop("rid")

@@ -82,7 +82,7 @@ def op7_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = minhash.cluster(table(spark, sf_dir, "documents").select("doc_id", "text"), words=2)
+    out = minhash.cluster(minhash.numbered(table(spark, sf_dir, "documents").select("doc_id", "text")), words=2)
     kept = F.col("doc").eqNullSafe(F.col("component"))
     return out.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), kept.alias("kept"))
 
