@@ -14,10 +14,12 @@ texts have no words; items without words are never found; equal items are found
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +27,7 @@ from pyspark.sql import types as T
 from scanloom.llm import textops
 from scanloom.llm.shared import cut
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 2 << 20
 WINDOW = 13
 SLICE_BYTES = 4 << 20
 
@@ -161,6 +163,17 @@ def find_block(texts: list[bytes], queries: Queries, before: list | None) -> lis
     return out
 
 
+_prepared: dict[str, Queries] = {}
+
+
+def prepared(key: str, sent: Broadcast, window: int) -> Queries:
+    """The queries of a broadcast block, made once in each worker; only the last are kept."""
+    if key not in _prepared:
+        _prepared.clear()
+        _prepared[key] = Queries(sent.value, window)
+    return _prepared[key]
+
+
 def blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[str, bytes]]]:
     rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit("")).cast("binary"))
     block, size = [], 0
@@ -184,8 +197,8 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     for block in blocks(benchmark, item, item_text):
         sent = spark.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, again=not first) -> Iterator[pa.RecordBatch]:
-            queries = Queries(sent.value, window)
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, key=uuid.uuid4().hex, again=not first) -> Iterator[pa.RecordBatch]:
+            queries = prepared(key, sent, window)
             for whole in batches:
                 for batch in textops.slices(whole, text, SLICE_BYTES):
                     rows = find_block(textops.texts_of(batch[text]), queries, batch[found].to_pylist() if again else None)
