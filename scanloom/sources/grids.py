@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,13 +57,11 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     Line numbers come from counts of lines a partition and places within it; the file is split as usual.
     """
     read = spark.read.option("lineSep", "\n").text(path).withColumns({"__part": F.spark_partition_id(), "__place": F.monotonically_increasing_id()})
-    counts = {r["__part"]: r["n"] for r in read.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    first, total = {}, 0
-    for part in sorted(counts):
-        first[part], total = total, total + counts[part]
-    starts = F.create_map(*[F.lit(int(x)) for kv in first.items() for x in kv]) if first else None
-    row = (F.col("__place") % F.lit(1 << 33)) + (F.element_at(starts, F.col("__part")) if first else F.lit(0))
-    return read.select(row.cast("long").alias("row"), F.col("value").alias("line"))
+    counts = sorted((r["__part"], r["n"]) for r in read.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect())
+    firsts = [(part, before) for (part, _), before in zip(counts, accumulate([n for _, n in counts], initial=0))]
+    starts = spark.createDataFrame(firsts, "__part int, __first long")  # a row for each split of the file
+    row = F.col("__place") % F.lit(1 << 33) + F.col("__first")
+    return read.join(F.broadcast(starts), "__part").select(row.cast("long").alias("row"), F.col("value").alias("line"))
 
 
 def detect_width(lines: DataFrame) -> int:
