@@ -20,11 +20,12 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame, small: bool = False) -> DataFrame:
     """The rows, written to the shared folder: they survive lost executors, and the plan before them is done with.
 
-    small: the table is a small part of the input's size, so an eighth of the partitions will do, and of the files.
+    small: the table is a small part of the input's size, so it is dealt to an eighth of the partitions, and files,
+    after it is worked out in all of them.
     """
     spark = df.sparkSession
     shared_folder(spark)
-    return (df.coalesce(-(-int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)) if small else df).checkpoint()
+    return (df.repartition(-(-int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)) if small else df).checkpoint()
 
 
 def steady(df: DataFrame) -> DataFrame:
