@@ -32,7 +32,7 @@ from scanloom.llm import textops
 #: White space in the sense of Unicode.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 MARK = 0x1000
-KEPT_WORDS = 150_000
+KEPT_CHUNKS, KEPT_WORDS = 150_000, 300_000
 KEPT_LENGTH = 64
 
 
@@ -43,6 +43,14 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
+def _keep(table: dict, key: str, value: tuple[bytes, bytes], most: int) -> None:
+    """Long keys are not kept; a full table starts anew."""
+    if len(key) <= KEPT_LENGTH:
+        if len(table) >= most:
+            table.clear()
+        table[key] = value
+
+
 class PrefixBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -79,7 +87,10 @@ class PrefixBpe:
         self.compatible = functools.lru_cache(1 << 18)(self._compatible)
         self.split = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+").findall
         self.specials = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
+        self.space = regex.compile(f"[{SPACE}]+")
+        self.tokens = {i: (struct.pack("<I", i), s.encode()) for i, s in self.strings.items()}
         self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.words: dict[str, tuple[bytes, bytes]] = {}
 
     def _units(self, token: str) -> str:
         """One character a byte; the last of a word is marked."""
@@ -109,44 +120,44 @@ class PrefixBpe:
         return self._apart(a, b, 1 << 40)
 
     def word_ids(self, units: str) -> list[int]:
-        last: list[tuple[int, int]] = [(0, -1)] * (len(units) + 1)  # for each prefix: length and id of its last token
-        matches: list[tuple[int, int]] = []
-        at = -1
-
-        def settle(end: int) -> None:
-            for size, token in matches:
-                start = end + 1 - size
-                if start == 0 or (last[start][1] >= 0 and self.compatible(last[start][1], token)):
-                    last[end + 1] = (size, token)
-                    return
-
-        for end, match in self.automaton.iter(units):
-            if end != at:
-                settle(at)
-                matches, at = [], end
-            matches.append(match)
-        settle(at)
-        out, at = [], len(units)
+        n, compatible = len(units), self.compatible
+        if units in self.automaton:
+            return [self.automaton.get(units)[1]]
+        # For each prefix, size and id of its last token. Matches come by their ends, longer ones first.
+        size_of, last = [0] * (n + 1), [-1] * (n + 1)
+        for end, (size, token) in self.automaton.iter(units):
+            end += 1
+            if last[end] < 0:
+                before = last[end - size]
+                if size == end or (before >= 0 and compatible(before, token)):
+                    size_of[end], last[end] = size, token
+        out, at = [], n
         while at:
-            size, token = last[at]
-            if token < 0:
+            if last[at] < 0:
                 raise ValueError("the vocabulary does not cover the text")
-            out.append(token)
-            at -= size
+            out.append(last[at])
+            at -= size_of[at]
         return out[::-1]
 
     def word(self, word: str) -> tuple[bytes, bytes]:
         """The ids as little-endian 32-bit integers, and what they decode to."""
-        found = self.known.get(word)
+        found = self.words.get(word)
         if found is None:
-            letters = [self.letters[b] for b in word.encode("utf-8", "surrogatepass")]
-            letters[-1] = chr(ord(letters[-1]) + MARK)
-            ids = self.word_ids("".join(letters))
-            found = struct.pack(f"<{len(ids)}I", *ids), " ".join([self.strings[i] for i in ids]).encode()
-            if len(word) <= KEPT_LENGTH:
-                if len(self.known) >= KEPT_WORDS:
-                    self.known.clear()
-                self.known[word] = found
+            if word.isascii() and word.isprintable():  # such bytes are their own letters
+                units = word[:-1] + chr(ord(word[-1]) + MARK)
+            else:
+                letters = [self.letters[b] for b in word.encode("utf-8", "surrogatepass")]
+                units = "".join(letters[:-1]) + chr(ord(letters[-1]) + MARK)
+            tokens = [self.tokens[i] for i in self.word_ids(units)]
+            found = b"".join([i for i, _ in tokens]), b" ".join([s for _, s in tokens])
+            _keep(self.words, word, found, KEPT_WORDS)
+        return found
+
+    def chunk(self, chunk: str) -> tuple[bytes, bytes]:
+        """The same for text without white space."""
+        words = [self.word(w) for w in self.split(chunk)]
+        found = words[0] if len(words) == 1 else (b"".join([i for i, _ in words]), b" ".join([s for _, s in words]))
+        _keep(self.known, chunk, found, KEPT_CHUNKS)
         return found
 
     def normal(self, text: str) -> str:
@@ -157,17 +168,16 @@ class PrefixBpe:
     def encode(self, text: str) -> tuple[bytes, bytes]:
         """Ids and decoded text of a whole text, as bytes."""
         parts = self.specials.split(text) if self.specials and "<" in text else [text]
-        ids, said, word, known = [], [], self.word, self.known.get
+        found, chunk, known = [], self.chunk, self.known.get
         for k, part in enumerate(parts):
             if k % 2:
-                ids.append(struct.pack("<I", self.special[part]))
-                said.append(part.encode())
-                continue
-            for w in self.split(self.normal(part)):
-                i, s = known(w) or word(w)
-                ids.append(i)
-                said.append(s)
-        return b"".join(ids), b" ".join(said)
+                found.append((struct.pack("<I", self.special[part]), part.encode()))
+            else:
+                part = self.normal(part)
+                # Python splits at four control characters more than Unicode has as white space.
+                chunks = self.space.split(part) if any(c in part for c in "\x1c\x1d\x1e\x1f") else part.split()
+                found += [known(w) or chunk(w) for w in chunks if w]
+        return b"".join([i for i, _ in found]), b" ".join([s for _, s in found])
 
     def decode(self, ids: bytes) -> str:
         return " ".join(self.strings[i] for (i,) in struct.iter_unpack("<I", ids))
