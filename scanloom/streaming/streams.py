@@ -93,7 +93,10 @@ def start(df: DataFrame, sink: str = "noop", checkpoint: str | None = None, avai
 
 
 def run_for(query: StreamingQuery, duration_ms: int = 0) -> str:
-    """Waits for the end, or for the duration (0: none); what has come in is worked through. Returns the cause."""
+    """Waits for the end, for the duration (0: none) or for a signal, and stops the query. Returns the cause.
+
+    A batch that the stop cuts off is worked on again when the query starts from its checkpoint: nothing is lost.
+    """
     asked: list[int] = []
     old = {s: signal.signal(s, lambda n, _: (asked.append(n), query.stop())) for s in (signal.SIGINT, signal.SIGTERM)}
     try:
@@ -102,7 +105,6 @@ def run_for(query: StreamingQuery, duration_ms: int = 0) -> str:
             return "signal"
         if ended:
             return "source exhausted"
-        query.processAllAvailable() if query.isActive and duration_ms < 0 else None
         query.stop()
         return "duration"
     finally:
