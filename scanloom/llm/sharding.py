@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from scanloom.llm.shared import steady
 
 #: Slots of a cell, as far as MOST_CELLS allows; larger cells only make the sort within a cell spill.
-CELL_ROWS = 20_000
-MOST_CELLS = 1_536
+CELL_ROWS = 2_000
+MOST_CELLS = 6_144
 PLACE = (1 << 33) - 1
 
 
