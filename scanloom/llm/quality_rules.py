@@ -35,6 +35,8 @@ SPACES = " \t\n\x0b\x0c\r"
 
 CLASS_LIMIT = 0.30
 WORD_LIMIT = 0.40
+#: Of the sum of both distances; a text without any common word has a word distance of only 0.26 to 0.33.
+BOTH_LIMIT = 0.43
 LEAST_CHARS = 200
 LEAST_WORDS = 50
 
@@ -150,7 +152,7 @@ def score(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents that pass, with their own columns."""
+    """The documents that pass, and are near some language by the sum of both distances too, with their own columns."""
     inner = docs.select(F.struct("*").alias("__row"), F.col(f"`{text}`").alias("text"))
     # The row number keeps the filter above the scores: pushed into them, it would work them out many times over.
-    return score(inner).withColumn("__at", F.monotonically_increasing_id()).filter("kept AND __at >= 0").select("__row.*")
+    return score(inner).withColumn("__at", F.monotonically_increasing_id()).filter(f"kept AND coalesce(class_distance + word_distance, 0) <= {BOTH_LIMIT} AND __at >= 0").select("__row.*")

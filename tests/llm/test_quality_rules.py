@@ -82,3 +82,14 @@ def test_distances(spark):
 def test_no_python(docs):
     plan = Q.score(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan and isinstance(pd, object)
+
+
+def test_filter_judges_by_both_distances(spark):
+    """Words of no language with strange characters between them are near enough on each histogram, not on both."""
+    rng = random.Random(2)
+    syllables = ["".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(3)) for _ in range(300)]
+    junk = " ".join(w + ("|" if k % 3 == 0 else "") for k, w in enumerate(syllables))
+    df = spark.createDataFrame([(1, junk), (2, prose())], "doc_id long, text string")
+    score = {r.doc_id: r for r in Q.score(df).collect()}
+    assert score[1].kept and score[1].class_distance <= Q.CLASS_LIMIT and 0.26 < score[1].word_distance <= Q.WORD_LIMIT
+    assert [r.doc_id for r in Q.keep_good(df).collect()] == [2]
