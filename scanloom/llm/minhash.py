@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from scanloom.llm import textops
 from scanloom.llm.graph import components
-from scanloom.llm.shared import cut, steady
+from scanloom.llm.shared import cut, numbered
 
 BANDS, ROWS = 40, 5
 T = BANDS * ROWS
@@ -212,11 +212,6 @@ def with_root(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots.withColumnRenamed("node", "__r"), F.col("node") == F.col("__r"), "left").withColumn("root", F.coalesce("root", "node")).drop("__r")
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """With rid, the same number for a row whenever it is read."""
-    return steady(docs).withColumn("rid", F.monotonically_increasing_id())
-
-
 def cluster(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """rid, doc, n_shingles and component (the least doc of the component) of every row of docs, which has rid.
 

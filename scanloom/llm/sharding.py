@@ -9,8 +9,8 @@ within their partition to fill that row of the matrix, exchanged by cell, and pe
 Given the partitions' order, all assignments are equally likely.
 
 Shard sizes differ by one row at most, whatever keys, texts or sources repeat.  The driver holds one
-number an input partition; the rows go through one exchange.  Rows are numbered by partition and place, so
-an input whose plan has an exchange is checkpointed first: only then are its partitions the same each time.
+number an input partition; the rows go through one exchange.  Rows are numbered by partition and place, and
+written with their numbers first: counts and assignments are of the same partitions, however they are read.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanloom.llm.shared import steady
+from scanloom.llm.shared import numbered
 
 #: Slots of a cell, as far as MOST_CELLS allows; larger cells only make the sort within a cell spill.
 CELL_ROWS = 2_000
@@ -86,8 +86,9 @@ def shuffle_to_shards(rows: DataFrame, shards: int, seed: int = 0, shard: str =
 
     Columns of these names are replaced.  An empty input gives an empty output.  Repeated rows are rows of their own.
     """
-    rows = steady(rows.drop(shard, slot))
-    counts = rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
+    rows = numbered(rows.drop(shard, slot), "__place")
+    rows = rows.withColumn("__from", F.shiftright("__place", 33).cast("int"))
+    counts = rows.groupBy(F.col("__from").alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
     sizes = np.zeros(max((r.p for r in counts), default=0) + 1, np.int64)
     for r in counts:
         sizes[r.p] = r.n
@@ -101,17 +102,18 @@ def shuffle_to_shards(rows: DataFrame, shards: int, seed: int = 0, shard: str =
     def deal(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         held, labels = -1, None
         for partition, place in batches:
-            if not len(partition):
-                yield pd.Series([], dtype="int32")
-                continue
-            if (own := int(partition.iloc[0])) != held:
-                labels = np.repeat(np.arange(len(room), dtype=np.int32), matrix_row(sizes, room, own, seed))
-                np.random.default_rng([seed, own]).shuffle(labels)
-                held = own
-            yield pd.Series(labels[place.to_numpy() & PLACE])
-
-    numbered = rows.withColumns({"__place": F.monotonically_increasing_id(), "__from": F.spark_partition_id()})
-    dealt = numbered.withColumn("__cell", deal("__from", "__place"))
+            source, at = partition.to_numpy(), place.to_numpy() & PLACE
+            out = np.empty(len(source), np.int32)
+            for own in np.unique(source).tolist():  # a task may read several partitions' rows
+                if own != held:
+                    labels = np.repeat(np.arange(len(room), dtype=np.int32), matrix_row(sizes, room, own, seed))
+                    np.random.default_rng([seed, own]).shuffle(labels)
+                    held = own
+                mine = source == own
+                out[mine] = labels[at[mine]]
+            yield pd.Series(out)
+
+    dealt = rows.withColumn("__cell", deal("__from", "__place"))
     inside = Window.partitionBy("__cell").orderBy(F.xxhash64(F.lit(seed), "__place"), "__place")
     first = F.get(F.array(*[F.lit(int(x)).cast("long") for x in firsts]), F.col("__cell"))
     return (

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from scanloom.llm import textops
-from scanloom.llm.shared import cut, steady
+from scanloom.llm.shared import cut, numbered
 
 WIN = 400
 K = 128
@@ -231,7 +231,7 @@ def mark_blocks(batches: Iterator[pa.RecordBatch], win: int) -> Iterator[pa.Reco
 
 
 def find(docs: DataFrame, text: str, win: int, k: int) -> DataFrame:
-    """rid and spans: ranges (a, b) of window starts whose strings occur elsewhere. docs has rid and must be steady."""
+    """rid and spans: ranges (a, b) of window starts whose strings occur elsewhere. docs has rid, the same at each reading."""
     source = docs.select("rid", F.col(f"`{text}`").alias("text"))
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +307,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None =
     made = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] if digests else ["removed", "kept"]
     if clash := {*keep} & {*made}:
         raise ValueError(f"columns {sorted(clash)} are in the way")
-    rows = steady(docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").alias("text"))).withColumn("rid", F.monotonically_increasing_id())
+    rows = numbered(docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").alias("text")))
     both = rows.join(find(rows, "text", win, k), "rid", "left").drop("rid")
     ddl = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" if digests else "removed array<struct<a:long,b:long>>, kept binary"
     schema = StructType(both.drop("text", "spans").schema.fields + StructType.fromDDL(ddl).fields)

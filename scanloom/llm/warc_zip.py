@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm.shared import cut, shared_folder, steady
+from scanloom.llm.shared import cut, numbered, shared_folder
 
 LEAST_BYTES = 100
 PACKAGE_BYTES = 256 << 20
@@ -116,9 +116,9 @@ class Package:
 
 
 def with_originals(pages: DataFrame, page: str, payload: str, least: int) -> DataFrame:
-    """Adds payload (binary), digest and original: null, or the id of the response of a revisit, as a string."""
+    """pages has __row. Adds payload (binary), digest and original: null, or the id of the response of a revisit, as a string."""
     raw = F.coalesce(F.col(f"`{payload}`"), F.lit("")).cast("binary")
-    rows = pages.withColumns({"__raw": raw, "__digest": F.sha2(raw, 256), "__rank": F.struct(F.col(f"`{page}`").isNull().alias("none"), F.col(f"`{page}`").alias("id"), F.monotonically_increasing_id().alias("row"))})
+    rows = pages.withColumns({"__raw": raw, "__digest": F.sha2(raw, 256), "__rank": F.struct(F.col(f"`{page}`").isNull().alias("none"), F.col(f"`{page}`").alias("id"), F.col("__row").alias("row"))}).drop("__row")
     first = rows.filter(F.octet_length("__raw") >= least).groupBy("__digest").agg(F.min("__rank").alias("__first"), F.count(F.lit(1)).alias("__n")).filter("__n > 1").drop("__n")
     first = cut(first, small=True)  # apart from the pages' own exchange, so that a payload with very many copies can be split
     both = rows.join(first.withColumnRenamed("__digest", "__d"), F.col("__digest") == F.col("__d"), "left").drop("__d")
@@ -128,7 +128,7 @@ def with_originals(pages: DataFrame, page: str, payload: str, least: int) -> Dat
 
 def write(pages: DataFrame, folder: str, page: str = "page_id", url: str = "url", payload: str = "html", least: int = LEAST_BYTES) -> DataFrame:
     """Writes the packages and returns a row for each: path, records. The rows are final, whatever is lost later."""
-    rows = with_originals(steady(pages.select(page, url, payload)), page, payload, least).select(F.col(f"`{page}`").alias("page"), F.col(f"`{url}`").alias("url"), "__raw", "__digest", "__original")
+    rows = with_originals(numbered(pages.select(page, url, payload), "__row"), page, payload, least).select(F.col(f"`{page}`").alias("page"), F.col(f"`{url}`").alias("url"), "__raw", "__digest", "__original")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, part, package = TaskContext.get(), 0, None
