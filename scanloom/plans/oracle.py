@@ -90,5 +90,7 @@ SELECT CAST(max(n) AS BIGINT) AS peak, max(n) <= 65 AS memory_ok FROM (SELECT su
     "segments": """WITH c AS (SELECT user_id, event_id, ts, coalesce(CAST(event_type <> lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT), 1) AS x FROM events)
 SELECT user_id, event_id, CAST(sum(x) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS segment FROM c""",
     "stdout_lines": f"""WITH {bits(GRID.replace("FROM embeddings", "FROM embeddings WHERE vec_id < 20"), K.DEFAULT_TAPS, Q.GRID_TV)}
+SELECT 'row=' || "row" || ' col=' || col || ' b1=' || b1 || ' b2=' || b2 AS line FROM packets""",
+    "stdout_lines_all": f"""WITH {bits(GRID, K.DEFAULT_TAPS, Q.GRID_TV)}
 SELECT 'row=' || "row" || ' col=' || col || ' b1=' || b1 || ' b2=' || b2 AS line FROM packets""",
 }

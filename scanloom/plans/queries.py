@@ -212,6 +212,13 @@ def stdout_lines(spark, sf_dir):
     return as_text(L.filter_lines(L.limit_rows(grid(spark, sf_dir), 20), threshold=GRID_TV))
 
 
+def stdout_lines_all(spark, sf_dir):
+    """A line for every packet of the table; stdout_lines, as its SQL has it, stops at row 20."""
+    from scanloom.sinks.writers import as_text
+
+    return as_text(L.filter_lines(grid(spark, sf_dir), threshold=GRID_TV))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     helpers = {"table", "grid", "events", "event_packets", "queue_moves", "order_lines", "queries"}
     return {k: f for k, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and k not in helpers and not k.startswith("_")}

@@ -42,3 +42,9 @@ def test_entry(spark):
 def test_random_grid(spark):
     one, two = (queries.random_grid(spark, str(DATA)).groupBy("b1").count().collect() for _ in range(2))
     assert sorted(one) == sorted(two) and sum(r["count"] for r in one) == 65_000
+
+
+def test_stdout_has_every_row(spark, duck):
+    lines = queries.stdout_lines_all(spark, str(DATA)).collect()
+    rows = {int(r.line.split()[0].removeprefix("row=")) for r in lines}
+    assert rows == {r for (r,) in duck.sql("SELECT vec_id FROM embeddings").fetchall()} and len(rows) > 20
