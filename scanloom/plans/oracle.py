@@ -84,6 +84,7 @@ SELECT r AS "row", o AS col, CASE WHEN f >= CAST(label + 120 AS FLOAT) THEN 1 EL
     "queue_occupancy": """WITH m AS (SELECT event_id, epoch_us(ts) AS t, 1 AS c FROM events UNION ALL SELECT event_id, epoch_us(ts) + 3600000000, -1 FROM events)
 SELECT CAST(max(n) AS BIGINT) AS peak, max(n) <= 65 AS memory_ok FROM (SELECT sum(c) OVER (ORDER BY t, c, event_id ROWS UNBOUNDED PRECEDING) AS n FROM m)""",
     "csv_mismatch_truncate": f"WITH {LINES}, l AS (SELECT * FROM raw WHERE r > 40 OR len(px) >= 2), stop AS (SELECT min(r) AS s FROM l WHERE len(px) < 2), fit AS (SELECT r, px[1:2] AS px FROM l, stop WHERE len(px) >= 2 AND (s IS NULL OR r < s)) {FLAT}",
+    "csv_mismatch_truncate_all": f"WITH {LINES}, stop AS (SELECT min(r) AS s FROM raw WHERE len(px) < 1), fit AS (SELECT r, px[1:1] AS px FROM raw, stop WHERE len(px) >= 1 AND (s IS NULL OR r < s)) {FLAT}",
     "csv_mismatch_skip": f"WITH {LINES}, fit AS (SELECT r, px[1:{Q.WIDTH}] AS px FROM raw WHERE len(px) >= {Q.WIDTH}) {FLAT}",
     "csv_mismatch_zero_pad": f"WITH {LINES}, fit AS (SELECT r, list_concat(px, [0, 0, 0, 0])[1:{Q.WIDTH}] AS px FROM raw) {FLAT}",
     "csv_mismatch_reject": f'WITH {GRID} SELECT r AS "row", o AS col, v FROM grid',

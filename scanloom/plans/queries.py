@@ -183,6 +183,11 @@ def csv_mismatch_truncate(spark, sf_dir):
     return _pixels(G.fit_lines(lines, 2, "truncate"))
 
 
+def csv_mismatch_truncate_all(spark, sf_dir):
+    """All orders, cut to a width that every line reaches, so that nothing ends the data."""
+    return _pixels(G.fit_lines(order_lines(spark, sf_dir), 1, "truncate"))
+
+
 def csv_mismatch_skip(spark, sf_dir):
     return _pixels(G.fit_lines(order_lines(spark, sf_dir), WIDTH, "truncate", short_row="skip"))
 

@@ -48,3 +48,12 @@ def test_stdout_has_every_row(spark, duck):
     lines = queries.stdout_lines_all(spark, str(DATA)).collect()
     rows = {int(r.line.split()[0].removeprefix("row=")) for r in lines}
     assert rows == {r for (r,) in duck.sql("SELECT vec_id FROM embeddings").fetchall()} and len(rows) > 20
+
+
+def test_truncate_has_every_order_and_stops_at_a_short_line(spark, duck):
+    from scanloom.sources.grids import fit_lines
+
+    rows = {r.row for r in queries.csv_mismatch_truncate_all(spark, str(DATA)).collect()}
+    assert rows == {r for (r,) in duck.sql("SELECT DISTINCT l_orderkey FROM lineitem").fetchall()}
+    lines = spark.createDataFrame([(4, [9, 9]), (3, [7]), (0, [1, 2, 3]), (2, [5, 6]), (5, [8])], "row long, px array<int>").repartition(3)
+    assert sorted((r.row, r.px) for r in fit_lines(lines, 2, "truncate").collect()) == [(0, [1, 2]), (2, [5, 6])]
