@@ -210,6 +210,31 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     return out
 
 
+def find_near(docs: DataFrame, words: str, span: int, text: str = "text", near: str = "near") -> DataFrame:
+    """All columns and rows, with near: ranges (first, last) of at most span words that hold all the given words.
+
+    Places are word numbers in the text.  Without any word there is no range.  A column named as near is replaced.
+    """
+    out = docs.drop(near)
+    wanted = np.unique(textops.scan_words([words.encode()], textops.WORD).hash)
+    schema = T.StructType([*out.schema.fields, T.StructField(near, FOUND["spans"].dataType)])
+    kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in textops.slices(whole, text, SLICE_BYTES):
+                found = textops.scan_words(textops.texts_of(batch[text]), textops.WORD)
+                index = Postings(found, wanted)
+                rows: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+                for first, last in index.near(np.arange(len(wanted)), span) if len(wanted) else []:
+                    k = int(index.text_of(np.array([first]))[0])
+                    start = int(found.bounds[k])
+                    rows[k].append({"first": first - start, "last": last - start})
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], schema.names)
+
+    return out.mapInArrow(run, schema)
+
+
 def hit_words(found: Column) -> Column:
     return F.aggregate(found.spans, F.lit(0).cast("long"), lambda n, s: n + s.last - s.first + 1)
 

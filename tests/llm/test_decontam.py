@@ -82,3 +82,10 @@ def test_proximity():
                 a, b = found.bounds[k], found.bounds[k + 1]
                 some = any({*terms} <= {*inverse[i : min(i + span, b)].tolist()} for i in range(a, b))
                 assert some == any(a <= first and last < b for first, last in got)
+
+
+def test_proximity_operator(spark):
+    df = spark.createDataFrame([(1, "a x b y"), (2, None), (3, "b. A"), (4, "a x x x b"), (5, "a a")], "doc_id long, text string")
+    got = {r.doc_id: [tuple(x) for x in r.near] for r in D.find_near(df, "b A", 3).collect()}
+    assert got == {1: [(0, 2)], 2: [], 3: [(0, 1)], 4: [], 5: []}
+    assert all(r.near == [] for r in D.find_near(df, "", 3).collect())
