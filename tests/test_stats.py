@@ -31,6 +31,14 @@ def test_gaps_keep_zero(spark, ranges):
     assert got == sorted(b - a for a, b in zip(ts, ts[1:])) and 0 in got
 
 
+def test_gaps_in_order_of_arrival(spark, ranges):
+    ts = [10, 30, 20, 25, 25, 3, 90, 80, 81, 7, 7, 0, 100, 99, 4]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(ts)], "seq long, t long").repartition(4)
+    want = [b - a for a, b in zip(ts, ts[1:])]
+    assert sorted(r.gap for r in S.gaps(df, "t", ["seq"]).collect()) == sorted(want) and min(want) < 0
+    assert sorted(r.gap for r in S.gaps(df, "t", ["seq"], keep_negative=False).collect()) == sorted(g for g in want if g >= 0)
+
+
 @pytest.mark.parametrize("gap, avg, threaded, linear", [(5, 3.0, "PASS", "PASS"), (9, 3.0, "FAIL", "AVG PASS / MAX FAIL"), (9, 6.0, "FAIL", "FAIL")])
 def test_verdicts(spark, gap, avg, threaded, linear):
     from pyspark.sql import functions as F
@@ -52,10 +60,30 @@ def test_occupancy(spark, ranges):
     assert (row.peak, row.memory_ok) == (peak, True)
 
 
-def test_bounded_queue(spark):
-    df = spark.createDataFrame([(0, k, c) for k, c in enumerate([1, 1, 1, 1, -1, 1, -1, -1, -1, -1])], "source long, seq long, change int")
-    row = S.bounded_queue(df, 3).first()
-    assert (row.dropped, row.peak) == (1, 3)
+@pytest.mark.parametrize("capacity", [1, 3])
+def test_bounded_queue(spark, ranges, capacity):
+    rng = random.Random(7)
+    moves = [(s, t, c) for s in range(3) for t in range(40) for c in rng.choices([1, -1], [0.6, 0.4], k=rng.randint(0, 2))]
+    want = {}
+    for s in {m[0] for m in moves}:
+        level = dropped = peak = 0
+        for _, _, c in sorted(m for m in moves if m[0] == s):
+            if c > 0 and level == capacity:
+                dropped += 1
+            level = min(capacity, max(0, level + c))
+            peak = max(peak, level)
+        want[s] = (dropped, peak)
+    rng.shuffle(moves)
+    df = spark.createDataFrame(moves, "source long, seq long, change int")
+    assert {r.source: (r.dropped, r.peak) for r in S.bounded_queue(df, capacity).collect()} == want
+
+
+def test_ring_capacity(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(0, 0), (1, 0), (2, 0), (3, 0), (4, 0), (5, 0), (65, 65), (64, 100), (1 << 33, 7)], "hint long, logical long")
+    got = [tuple(r) for r in df.select(S.next_power_of_two(F.col("hint")), S.ring_capacity(F.col("hint"), F.col("logical"))).collect()]
+    assert got == [(2, 1), (2, 1), (2, 1), (4, 3), (4, 3), (8, 5), (128, 65), (64, 63), (1 << 33, 7)]
 
 
 def test_counts(spark):
