@@ -16,21 +16,18 @@ from pyspark.sql import functions as F
 from scanloom.functions import kernel as K
 
 
-def _numbered_pairs(lines: DataFrame, row: str, px: str, taps: tuple[str, ...], policy: str) -> DataFrame:
-    values = F.transform(F.coalesce(F.col(px), F.array().cast("array<int>")), lambda x: F.coalesce(x, F.lit(0)))
-    n = F.size(px)
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(2)))
-    pad = lines.select(F.col(row).cast("long").alias("row"), n.alias("__n"), K.padded(values, len(taps) // 2, policy).alias("__pad"), starts.alias("__at"))
-    return pad.select("row", "__n", "__pad", F.explode("__at").alias("__col"))
-
-
 def filter_lines(lines: DataFrame, taps: Sequence[str] = K.DEFAULT_TAPS, threshold: int | Column = 0, policy: str = K.REPLICATE, row: str = "row", px: str = "px") -> DataFrame:
-    """Packets of a table of lines."""
+    """Packets of a table of lines. The threshold may be a column of the table."""
     taps, policy = K.checked(taps), K.check_policy(policy)
-    pairs = _numbered_pairs(lines, row, px, taps, policy)
-    at = F.col("__col")
-    first = K.above(K.at_place(F.col("__pad"), at, taps), threshold)
-    second = F.when(at + 1 < F.col("__n"), K.above(K.at_place(F.col("__pad"), at + 1, taps), threshold)).otherwise(F.lit(0))
+    values = F.transform(F.coalesce(F.col(px), F.array().cast("array<int>")), lambda x: F.coalesce(x, F.lit(0)))
+    n, at = F.size(px), F.col("__col")
+    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(2)))
+    own = [threshold.alias("__tv")] if isinstance(threshold, Column) else []
+    pad = lines.select(F.col(row).cast("long").alias("row"), n.alias("__n"), K.padded(values, len(taps) // 2, policy).alias("__pad"), starts.alias("__at"), *own)
+    pairs = pad.select("row", "__n", "__pad", F.explode("__at").alias("__col"), *["__tv"][: len(own)])
+    limit = F.col("__tv") if own else threshold
+    first = K.above(K.at_place(F.col("__pad"), at, taps), limit)
+    second = F.when(at + 1 < F.col("__n"), K.above(K.at_place(F.col("__pad"), at + 1, taps), limit)).otherwise(F.lit(0))
     return pairs.select("row", at.cast("long").alias("col"), first.alias("b1"), second.alias("b2"))
 
 

@@ -136,3 +136,15 @@ def test_no_shuffle_and_no_python_in_the_line_layout(spark):
 
     plan = L.filter_lines(random_lines(spark, 10, 8))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_threshold_column_of_the_table(spark):
+    from pyspark.sql import functions as F
+
+    from scanloom.functions.kernel import IDENTITY_TAPS
+    from scanloom.operators.lines import filter_lines
+
+    df = spark.createDataFrame([(0, [5, 6, 7], 6), (1, [5, 6, 7], 7), (2, [], 1)], "row long, px array<int>, label int")
+    got = filter_lines(df, IDENTITY_TAPS, threshold=F.col("label"))
+    assert sorted(map(tuple, got.collect())) == [(0, 0, 0, 1), (0, 2, 1, 0), (1, 0, 0, 0), (1, 2, 1, 0)]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
