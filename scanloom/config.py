@@ -119,6 +119,15 @@ def _with(config: PipelineConfig, key: str, value: str) -> PipelineConfig:
 OPTIONS = {"--mode": "mode", "--duration": "run_duration_ms", "--max-rows": "max_rows", "--boundary": "boundary_policy", "--csv-mismatch": "csv_mismatch_policy", "--write-output": "write_output", "--output-file": "output_file"}
 
 
+def with_options(config: PipelineConfig, arguments: Sequence[str]) -> PipelineConfig:
+    """--option=value arguments override parameters; unknown ones are skipped."""
+    options = dict(a.split("=", 1) for a in arguments if a.startswith("--") and "=" in a)
+    for option, key in OPTIONS.items():
+        if option in options:
+            config = _with(config, key, options[option])
+    return config
+
+
 def load(arguments: Sequence[str] = (), default_file: str = "Config.cfg", overrides: Mapping[str, str] | None = None) -> PipelineConfig:
     """A file (--config=; a missing one raises, the default one may be missing), then options, then overrides."""
     options = dict(a.split("=", 1) for a in arguments if a.startswith("--") and "=" in a)
@@ -129,9 +138,7 @@ def load(arguments: Sequence[str] = (), default_file: str = "Config.cfg", overri
             config = parse_text(f.read())
     elif "--config" in options:
         raise ConfigError(f"no config file {path}")
-    for option, key in OPTIONS.items():
-        if option in options:
-            config = _with(config, key, options[option])
+    config = with_options(config, arguments)
     for key, value in (overrides or {}).items():
         config = _with(config, key, value)
     return config.validated()

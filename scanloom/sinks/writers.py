@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanloom.config import PipelineConfig
 from scanloom.operators.stats import bit_counts
 
+Sink = Callable[[DataFrame, PipelineConfig], None]
+PACKETS = "row long, col long, b1 int, b2 int"
+
 
 def write_csv(packets: DataFrame, path: str, single_file: bool = False) -> None:
     """A folder of CSV parts with the header row,col,b1,b2, ordered by row and col over all parts."""
@@ -15,6 +20,11 @@ def write_csv(packets: DataFrame, path: str, single_file: bool = False) -> None:
     (out.coalesce(1) if single_file else out).write.mode("overwrite").option("header", True).csv(path)
 
 
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The packets that write_csv wrote."""
+    return spark.read.schema(PACKETS).option("header", True).csv(path)
+
+
 def write_null(packets: DataFrame) -> None:
     packets.write.format("noop").mode("overwrite").save()
 
@@ -30,8 +40,14 @@ def write_stdout(packets: DataFrame) -> None:
         print(r["line"])
 
 
-def write(packets: DataFrame, config: PipelineConfig) -> None:
-    write_csv(packets, config.output_file) if config.write_output else write_null(packets)
+def write(packets: DataFrame, config: PipelineConfig, sink: Sink | None = None) -> None:
+    """To the configured sink, or to one's own."""
+    if sink is not None:
+        sink(packets, config)
+    elif config.write_output:
+        write_csv(packets, config.output_file)
+    else:
+        write_null(packets)
 
 
 def summary(packets: DataFrame, config: PipelineConfig | None = None, cause: str = "source exhausted") -> DataFrame:

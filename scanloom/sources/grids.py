@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from itertools import accumulate
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scanloom.config import Mismatch, Mode, PipelineConfig
 from scanloom.functions.csv_lines import pixels, tokens
+from scanloom.written import written
+
+Source = Callable[[SparkSession, PipelineConfig], DataFrame]
 
 
 def hashed_pixel(seed: int, row: Column, col: Column) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), row, col), F.lit(256)).cast("int")
+    """A pixel from 0 to 255, by integer arithmetic that any engine can follow: all values stay below 2**63."""
+    word = 1 << 32
+    x = F.pmod(F.pmod(row.cast("long"), F.lit(word)) * 1_000_003 + col * 7919 + F.lit(seed % word), F.lit(word))
+    for _ in range(2):
+        x = F.pmod(x.bitwiseXOR(F.shiftrightunsigned(x, 16)) * 73_244_475, F.lit(word))
+    return F.shiftrightunsigned(x, 16).bitwiseAND(F.lit(255).cast("long")).cast("int")
 
 
 def random_lines(spark: SparkSession, rows: int, m: int, seed: int = 0) -> DataFrame:
@@ -32,6 +40,12 @@ def random_packets(spark: SparkSession, packets: int, m: int, seed: int = 0) ->
     return at.select("row", F.col("c").cast("long").alias("col"), hashed_pixel(seed, F.col("row"), F.col("c")).alias("v1"), hashed_pixel(seed, F.col("row"), F.col("c") + 1).alias("v2"))
 
 
+def mismatch(m: int) -> Column:
+    """What is wrong with a line (row, px) that is not m wide; null if it fits."""
+    n = F.size("px")
+    return F.when(n != m, F.concat(F.lit("CSV row "), F.col("row").cast("string"), F.lit(" has "), n.cast("string"), F.lit(f" values, expected {m}")))
+
+
 def fit_lines(lines: DataFrame, m: int, policy: str | Mismatch = Mismatch.REJECT, short_row: str = "stop") -> DataFrame:
     """(row, px of width m) of lines (row, px) of any width.
 
@@ -40,8 +54,7 @@ def fit_lines(lines: DataFrame, m: int, policy: str | Mismatch = Mismatch.REJECT
     """
     policy, n = Mismatch(policy), F.size("px")
     if policy is Mismatch.REJECT:
-        message = F.concat(F.lit("CSV row "), F.col("row").cast("string"), F.lit(" has "), n.cast("string"), F.lit(f" values, expected {m}"))
-        return lines.select("row", F.when(n == m, F.col("px")).otherwise(F.raise_error(message).cast(lines.schema["px"].dataType)).alias("px"))
+        return lines.select("row", F.when(n == m, F.col("px")).otherwise(F.raise_error(mismatch(m)).cast(lines.schema["px"].dataType)).alias("px"))
     if policy is Mismatch.ZERO_PAD:
         return lines.select("row", F.slice(F.concat("px", F.array_repeat(F.lit(0), m)), 1, m).alias("px"))
     cut = lines.filter(n >= m).select("row", F.slice("px", 1, m).alias("px"))
@@ -52,16 +65,18 @@ def fit_lines(lines: DataFrame, m: int, policy: str | Mismatch = Mismatch.REJECT
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(row, line): the lines of a text file, from 0; blank lines are lines, only the last line break ends none.
+    """(row, line): the lines of a text file, or of a folder's files by name, from 0; blank lines are lines, only the last line break ends none.
 
-    Line numbers come from counts of lines a partition and places within it; the file is split as usual.
+    Files are split as usual.  A line's number is its place in its split and the lines of the splits before; the lines
+    are written with their places first, since a scan's splits depend on the cores that live when a job is planned.
     """
-    read = spark.read.option("lineSep", "\n").text(path).withColumns({"__part": F.spark_partition_id(), "__place": F.monotonically_increasing_id()})
-    counts = sorted((r["__part"], r["n"]) for r in read.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect())
-    firsts = [(part, before) for (part, _), before in zip(counts, accumulate([n for _, n in counts], initial=0))]
-    starts = spark.createDataFrame(firsts, "__part int, __first long")  # a row for each split of the file
-    row = F.col("__place") % F.lit(1 << 33) + F.col("__first")
-    return read.join(F.broadcast(starts), "__part").select(row.cast("long").alias("row"), F.col("value").alias("line"))
+    read = spark.read.option("lineSep", "\n").text(path)
+    at = read.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    at = written(at)
+    splits = at.groupBy("file", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))  # a row a split
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = written(splits.select("file", "block", (before - F.col("first")).alias("shift")))
+    return at.join(F.broadcast(starts), ["file", "block"]).select((F.col("id") + F.col("shift")).cast("long").alias("row"), "line")
 
 
 def detect_width(lines: DataFrame) -> int:
@@ -79,8 +94,10 @@ def csv_lines(spark: SparkSession, path: str, policy: str | Mismatch = Mismatch.
     return fit_lines(lines.select("row", pixels(F.col("line")).alias("px")), m, policy, short_row)
 
 
-def from_config(spark: SparkSession, config: PipelineConfig, rows: int | None = None, seed: int = 0) -> DataFrame:
-    """The configured source; a random grid has max_rows rows, or those given."""
+def from_config(spark: SparkSession, config: PipelineConfig, rows: int | None = None, seed: int = 0, source: Source | None = None) -> DataFrame:
+    """The configured source, or one's own; a random grid has max_rows rows, or those given."""
+    if source is not None:
+        return source(spark, config)
     if config.mode is Mode.CSV:
         return csv_lines(spark, config.input_file, config.csv_mismatch_policy)
     n = rows if rows is not None else config.max_rows
@@ -94,8 +111,8 @@ def quantised(x: Column) -> Column:
     return F.least(F.lit(255), F.greatest(F.lit(0), F.floor((x.cast("double") + 1) * 127.5).cast("int")))
 
 
-def embedding_lines(embeddings: DataFrame) -> DataFrame:
-    return embeddings.select(F.col("vec_id").alias("row"), F.transform("embedding", quantised).alias("px"))
+def embedding_lines(embeddings: DataFrame, *keep: str) -> DataFrame:
+    return embeddings.select(F.col("vec_id").alias("row"), F.transform("embedding", quantised).alias("px"), *keep)
 
 
 def event_pixels(events: DataFrame) -> DataFrame:
