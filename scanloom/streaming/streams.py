@@ -7,6 +7,7 @@ since the end of a line shows only when the next one begins; an end packet (row
 from __future__ import annotations
 
 import signal
+import time
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -27,7 +28,7 @@ def paced_packets(spark: SparkSession, m: int, packets_per_batch: int, advance_m
     return at.select("source", "row", F.col("c").cast("long").alias("col"), hashed_pixel(seed, F.col("row"), F.col("c")).alias("v1"), hashed_pixel(seed, F.col("row"), F.col("c") + 1).alias("v2"))
 
 
-def filter_row(values: list[int], taps: Sequence[str], threshold: int, policy: str) -> np.ndarray:
+def filter_row(values: Sequence[int], taps: Sequence[str], threshold: int, policy: str) -> np.ndarray:
     """Bits of one line."""
     k, half = [np.float32(t) for t in taps], len(taps) // 2
     x = np.array(values, np.float32)
@@ -52,30 +53,34 @@ def filter_packets(packets: DataFrame, taps: Sequence[str] = K.DEFAULT_TAPS, thr
     """
     taps, policy = K.checked(taps), K.check_policy(policy)
 
-    def done(source: int, row: int, values: list[int]) -> pd.DataFrame:
+    def done(source: int, row: int, values: np.ndarray) -> pd.DataFrame:
         bits = filter_row(values, taps, threshold, policy)
         bits = np.append(bits, 0)[: len(bits) + len(bits) % 2]
         return pd.DataFrame({"source": source, "row": row, "col": np.arange(0, len(bits), 2), "b1": bits[::2], "b2": bits[1::2]})
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        row, values = (lambda s: (s[0], list(s[1])))(state.get) if state.exists else (None, [])
+        row, values = (lambda s: (s[0], np.array(s[1], np.int64)))(state.get) if state.exists else (None, np.zeros(0, np.int64))
         if state.hasTimedOut:
-            if values:
+            if len(values):
                 yield done(key[0], row, values)
             state.remove()
             return
-        whole = pd.concat(list(batches), ignore_index=True)
-        for r in whole.sort_values(["row", "col"], na_position="last", kind="stable").itertuples():
-            if row is not None and (pd.isna(r.row) or r.row != row):
+        whole = pd.concat(list(batches), ignore_index=True).sort_values(["row", "col"], na_position="last", kind="stable")
+        ends, packets = whole["row"].isna().any(), whole[whole["row"].notna()]
+        rows, pixels = packets["row"].to_numpy(np.int64), packets[["v1", "v2"]].to_numpy(np.int64)
+        edges = [0, *(np.flatnonzero(np.diff(rows)) + 1).tolist(), len(rows)] if len(rows) else []
+        for a, b in zip(edges, edges[1:]):
+            if row is not None and row != rows[a]:
                 yield done(key[0], row, values)
-                row, values = None, []
-            if not pd.isna(r.row):
-                row = int(r.row)
-                values += [int(r.v1), int(r.v2)]
+                values = np.zeros(0, np.int64)
+            row, values = int(rows[a]), np.append(values, pixels[a:b].ravel())
+        if ends and row is not None:
+            yield done(key[0], row, values)
+            row = None
         if row is None:
             state.remove()
         else:
-            state.update((row, values))
+            state.update((row, values.tolist()))
             if timeout_ms:
                 state.setTimeoutDuration(timeout_ms)
 
@@ -92,21 +97,29 @@ def start(df: DataFrame, sink: str = "noop", checkpoint: str | None = None, avai
     return (out.trigger(availableNow=True) if available_now else out).start()
 
 
+def drain(query: StreamingQuery, poll_s: float = 0.02) -> None:
+    """Waits until the batch that is being worked on has come out, and stops the query: what was taken in is not lost."""
+    done = lambda: (query.lastProgress or {}).get("batchId", -1)
+    before = done()
+    while query.isActive and query.status["isTriggerActive"] and done() == before:
+        time.sleep(poll_s)
+    query.stop()
+
+
 def run_for(query: StreamingQuery, duration_ms: int = 0) -> str:
-    """Waits for the end, for the duration (0: none) or for a signal, and stops the query. Returns the cause.
+    """Waits for the end, for the duration (0: none) or for a signal, drains and stops the query. Returns the cause.
 
-    A batch that the stop cuts off is worked on again when the query starts from its checkpoint: nothing is lost.
+    A batch that begins meanwhile is worked on again when the query starts from its checkpoint: nothing is lost.
     """
     asked: list[int] = []
-    old = {s: signal.signal(s, lambda n, _: (asked.append(n), query.stop())) for s in (signal.SIGINT, signal.SIGTERM)}
+    old = {s: signal.signal(s, lambda n, _: asked.append(n)) for s in (signal.SIGINT, signal.SIGTERM)}
+    end = time.monotonic() + duration_ms / 1000
     try:
-        ended = query.awaitTermination(duration_ms / 1000) if duration_ms else (query.awaitTermination(), True)[1]
-        if asked:
-            return "signal"
-        if ended:
-            return "source exhausted"
-        query.stop()
-        return "duration"
+        while not asked and not (duration_ms and time.monotonic() >= end):
+            if query.awaitTermination(0.1 if not duration_ms else max(0.001, min(0.1, end - time.monotonic()))):
+                return "source exhausted"
+        drain(query)
+        return "signal" if asked else "duration"
     finally:
         for s, f in old.items():
             signal.signal(s, f)
