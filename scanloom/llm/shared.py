@@ -1,22 +1,23 @@
-"""The folder that driver and executors share, and rows whose numbers are the same at each reading."""
+"""Rows that are written once, with numbers that are the same at each reading, and how many tasks share some work."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scanloom.written import fresh_path, shared_folder
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """The name, or one like it that none of the columns has."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where that is unset (tests on one machine), a folder of our own."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+def positional(df: DataFrame) -> DataFrame:
+    """The same with the columns c0, c1, ...: no name clashes with working columns, or has to be quoted."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
 
 
 def cut(df: DataFrame, small: bool = False) -> DataFrame:
@@ -30,16 +31,28 @@ def cut(df: DataFrame, small: bool = False) -> DataFrame:
     return (df.repartition(-(-int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)) if small else df).checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows as Parquet in the shared folder, or as a checkpoint if they have a type that Parquet does not hold."""
+    rows, names = positional(df), df.columns
+    if any("void" in kind or "interval" in kind for _, kind in rows.dtypes):
+        return cut(rows).toDF(*names)
+    path = fresh_path(df.sparkSession, name)
+    rows.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(rows.schema).parquet(path).toDF(*names)
+
+
 def numbered(df: DataFrame, rid: str = "rid") -> DataFrame:
     """With rid, which tells rows by partition and place: written once, so that it is the same whenever it is read.
 
     A scan of files alone is not so: its splits follow the cores that live when a job is planned.  The rows go to
     Parquet in the shared folder, or to a checkpoint if they have a type that Parquet does not hold.
     """
-    spark, names = df.sparkSession, [*df.columns, rid]
-    rows = df.withColumn(rid, F.monotonically_increasing_id()).toDF(*[f"c{k}" for k in range(len(names))])
-    if any("void" in kind or "interval" in kind for _, kind in rows.dtypes):
-        return cut(rows).toDF(*names)
-    path = f"{shared_folder(spark)}/numbered-{uuid.uuid4().hex}"
-    rows.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(rows.schema).parquet(path).toDF(*names)
+    return stored(df.withColumn(rid, F.monotonically_increasing_id()), "numbered")
+
+
+def tasks_for(work: int | None, a_task: int, most: int = 1 << 15) -> int:
+    """How many tasks share some work, so that each gets about so much of it, however much it is.
+
+    Adaptive execution sizes partitions by their bytes, which says little where a byte costs much work.
+    """
+    return max(1, min(most, -(-(work or 0) // a_task)))

@@ -1,19 +1,20 @@
 """Long repeated byte strings, found by run-length indexes over the parts of the corpus that repeat.
 
-Every window of WIN bytes has a key, the least hash of its K-byte strings; equal windows have equal keys.
+Every window of win bytes has a key, the least hash of its k-byte strings; equal windows have equal keys.
 Consecutive windows with one key are a segment.  Only segments whose key occurs twice, in one text or several, are
-followed up, and equal segments are one.  The rest is routed by key, so that equal windows meet, and packed into blocks.  For
-each block a run-compressed Burrows-Wheeler transform is built, with the text places at both ends of its
-runs; only there is the match with the neighbour in suffix order worked out, and streaming over the text,
-matching statistics follow from these samples (a match shrinks by one byte a step).  Windows whose match
-is at least WIN long are marked, and every byte that a marked window covers.
-
-A key with more than MOST_BYTES of different segments is too large for a block: its windows are routed on,
-each by its own 128-bit hash, and are marked where that hash occurs twice.  Nothing is capped, and no group
-is gathered in one task.
-
-Texts are whole UTF-8 byte strings (null: empty); a text is cut into overlapping pieces only for the hashing.
-Equal rows are copies of each other.
+followed up; equal segments are one, with a number of copies.  They are routed by key, so that equal windows meet, and
+packed into blocks.  Each block gets a run-length index: the runs of its Burrows-Wheeler transform (head, length, where
+it leads), the text places of both ends of each run, and how far the rows match there.  Copies only lengthen the runs.
+Matching statistics are streamed against that index, all segments of the block at once, from their last byte to the
+first: inside a run the match with the row above, or below, grows by one byte, and at the run's ends it is the sample.
+Windows whose match is at least win long are marked, and every byte that a marked window covers.
+
+A key with more than BLOCK_BYTES of different segments is too large for a block: these segments are keyed once more by
+longer strings, at last by whole windows, so that equal windows still meet; the same index marks them.  Nothing is
+capped, and no group is gathered in one task.
+
+Texts are whole UTF-8 byte strings (null: empty), however long; a text is cut into overlapping pieces only for the
+hashing.  Equal rows are copies of each other.  An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -28,13 +29,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from scanloom.llm import textops
-from scanloom.llm.shared import cut, numbered
+from scanloom.llm.shared import cut, numbered, tasks_for
 
 WIN = 400
 K = 128
 PIECE = 1 << 18
 BLOCK_BYTES = 1 << 20
-MOST_BYTES = 2 << 20
+#: Text that one task indexes.
+TASK_BYTES = 4 << 20
+#: Windows of a segment; longer runs of one key (periodic text) are several segments.
+MOST_WINDOWS = 512
 
 
 def pieces(texts: list[bytes], win: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -86,11 +90,20 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
 
 
+def string_lengths(win: int, k: int) -> list[int]:
+    """k, and longer ones with a fourth of the places in a window each, down to the window itself."""
+    places, out = win - k + 1, [k]
+    while places > 1:
+        places //= 4
+        out.append(win - max(places, 1) + 1)
+    return out
+
+
 def segments(texts: list[bytes], win: int, k: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(text, key, content, start, windows, again) of the runs of windows with one key.
+    """(text, key, content, start, windows, again) of the runs of windows with one key, of MOST_WINDOWS at most.
 
-    again: the key's string occurs twice in the run.  Equal windows of one run hold it at one offset, so the
-    first such string has left the window before the run ends; where none does, a run has no equal windows.
+    again: the key's string occurs twice in the segment.  Equal windows of one segment hold it at one offset, so the
+    first such string has left the window before the segment ends; where none does, a segment has no equal windows.
     """
     for data, first, text, offset in pieces(texts, win):
         rolling = Rolling(data)
@@ -100,9 +113,15 @@ def segments(texts: list[bytes], win: int, k: int) -> Iterator[tuple[np.ndarray,
         fits = np.arange(len(key)) + win <= first[part + 1]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (part[1:] != part[:-1])
-        start = np.flatnonzero(new & fits)
+        runs = np.flatnonzero(new)
+        lengths = np.diff(np.append(runs, len(key)))
+        cuts = (lengths - 1) // MOST_WINDOWS + 1
+        place = np.arange(int(cuts.sum())) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        begin = np.repeat(runs, cuts) + place * MOST_WINDOWS
+        end = np.minimum(begin + MOST_WINDOWS, np.repeat(runs + lengths, cuts))
+        start, stop = begin[fits[begin]], end[fits[begin]]
         own = part[start]
-        stop = np.minimum(np.append(np.flatnonzero(new), len(key))[np.searchsorted(np.flatnonzero(new), start) + 1], first[own + 1] - win + 1)
+        stop = np.minimum(stop, first[own + 1] - win + 1)
         content = rolling.of(start, stop + win - 1)
         leaves = np.concatenate([[0], np.cumsum(strings[: len(key)] == key)])
         again = leaves[stop - 1] > leaves[start]
@@ -110,180 +129,195 @@ def segments(texts: list[bytes], win: int, k: int) -> Iterator[tuple[np.ndarray,
 
 
 class RunIndex:
-    """Run-length index of parts joined by a separator: run ends of the transform, with their text places and matches."""
+    """Run-length index of parts, each with a number of copies: the transform's runs and samples at their ends.
+
+    heads, starts, lengths: letter (0: a part begins), first row and rows of each run; copies of a part are rows of their
+    own.  to: the row that a run's first row leads to, one letter further to the left.  first_place, last_place: text
+    places of both ends of a run.  above, below: how far the rows that these ends lead to match the rows next to them.
+    """
 
-    def __init__(self, parts: list[bytes]):
+    def __init__(self, parts: list[bytes], copies: list[int] | None = None):
+        self.sizes = np.array([len(p) for p in parts], np.int64)
+        self.copies = np.ones(len(parts), np.int64) if copies is None else np.array(copies, np.int64)
         self.first = np.zeros(len(parts) + 1, np.int64)
-        np.cumsum([len(p) + 1 for p in parts], out=self.first[1:])
-        self.text = np.zeros(int(self.first[-1]), np.int16)  # separators are 0, bytes 1 to 256
+        np.cumsum(self.sizes + 1, out=self.first[1:])
+        text = np.zeros(int(self.first[-1]), np.int16)  # separators are 0, bytes 1 to 256
         for k, p in enumerate(parts):
-            self.text[self.first[k] : self.first[k + 1] - 1] = np.frombuffer(p, np.uint8).astype(np.int16) + 1
-        order = self._suffix_order()
-        last = self.text[order - 1]  # the transform; the text's first place wraps round to its last separator
-        head = np.ones(len(order), bool)
-        head[1:] = (last[1:] != last[:-1]) | (last[1:] == 0)
-        heads = np.flatnonzero(head)
-        self.runs = len(heads)
-        heads = heads[heads > 0]
-        # Ends of runs: the first place of a run with its predecessor, and the last of the run before with its successor.
-        here, before = order[heads].astype(np.int64), order[heads - 1].astype(np.int64)
-        del order, last, head, heads
-        self.samples = np.concatenate([here, before])
-        half = self._match(here, before)
-        self.matches = np.concatenate([half, half])
-
-    def _suffix_order(self) -> np.ndarray:
-        """By doubling; places that are told apart drop out."""
-        n, size = len(self.text), 6
-        key = np.zeros(n, np.int64)
-        padded = np.concatenate([self.text.astype(np.int64) + 1, np.zeros(size, np.int64)])  # what lies beyond the end is least
-        for k in range(size):
-            key = (key << 9) | padded[k : k + n]
-        order = np.argsort(key, kind="stable").astype(np.int32)
-        key = key[order]
-        new = np.ones(n, bool)
-        new[1:] = key[1:] != key[:-1]
-        del key, padded
-        rank = np.empty(n, np.int32)
-        rank[order] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))  # the place of the group's first member
-        while not new.all():
-            alone = new & np.append(new[1:], True)
-            at = np.flatnonzero(~alone).astype(np.int32)
-            own = order[at]
-            beyond = np.where(own.astype(np.int64) + size < n, rank[np.minimum(own.astype(np.int64) + size, n - 1)], -1)
-            group = rank[own]
-            fine = np.argsort(group * np.int64(n + 1) + beyond + 1, kind="stable")
-            order[at], group, beyond = own[fine], group[fine], beyond[fine]
-            told = np.ones(len(at), bool)
-            told[1:] = (group[1:] != group[:-1]) | (beyond[1:] != beyond[:-1])
-            new[at] = told
-            rank[order[at]] = at[np.flatnonzero(told)[np.cumsum(told) - 1]]
-            size *= 2
-        return order
-
-    def _match(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """How long the suffixes at a and b agree."""
-        n, step = len(self.text), 7
-        padded = np.concatenate([self.text.astype(np.int64), np.full(step, -1, np.int64)])
-        word = np.zeros(n + 1, np.int64)
-        for k in range(step):
-            word = word * 257 + np.concatenate([padded[k : k + n], [-1 - k]])
-        out = np.zeros(len(a), np.int64)
-        open_ = np.arange(len(a))
-        while len(open_):
-            x, y = a[open_] + out[open_], b[open_] + out[open_]
-            whole = (x + step <= n) & (y + step <= n)
-            same = whole & (word[np.minimum(x, n)] == word[np.minimum(y, n)])
-            out[open_[same]] += step
-            for i in open_[~same & ~whole]:
-                while max(a[i], b[i]) + out[i] < n and self.text[a[i] + out[i]] == self.text[b[i] + out[i]]:
-                    out[i] += 1
-            rest = open_[~same & whole]
-            going = np.ones(len(rest), bool)
-            for _ in range(step):
-                going &= self.text[np.minimum(a[rest] + out[rest], n - 1)] == self.text[np.minimum(b[rest] + out[rest], n - 1)]
-                out[rest] += going
-            open_ = open_[same]
-        return out
-
-    def statistics(self) -> np.ndarray:
-        """For each place, the longest match with another place, up to the end of its part."""
-        n = len(self.text)
-        reach = np.zeros(n, np.int32)
-        np.maximum.at(reach, self.samples, (self.samples + self.matches).astype(np.int32))
-        end = np.repeat((self.first[1:] - 1).astype(np.int32), np.diff(self.first))
-        return np.maximum(np.minimum(np.maximum.accumulate(reach), end) - np.arange(n, dtype=np.int32), 0)
+            text[self.first[k] : self.first[k + 1] - 1] = np.frombuffer(p, np.uint8).astype(np.int16) + 1
+        order = suffix_order(text)
+        last = text[order - 1]  # the transform; the text's first place wraps round to its last separator
+        rows = np.repeat(self.copies, self.sizes + 1)[order]
+        row = np.cumsum(rows) - rows
+        new = np.ones(len(order), bool)
+        new[1:] = (last[1:] != last[:-1]) | (last[1:] == 0)
+        head = np.flatnonzero(new)
+        self.heads, self.starts = last[head], row[head]
+        self.lengths = np.diff(np.append(self.starts, row[-1] + rows[-1]))
+        self.first_place, self.last_place = order[head], order[np.append(head[1:], len(order)) - 1]
+        ends = np.argsort(order[: len(parts)])  # separators are the first rows, one after the other in the text
+        self.ends = row[: len(parts)][ends]
+        by = np.argsort(self.heads, kind="stable")
+        self.to = np.empty(len(head), np.int64)
+        self.to[by] = np.cumsum(self.lengths[by]) - self.lengths[by]
+        self.above, self.below = np.zeros(len(head), np.int64), np.zeros(len(head), np.int64)
+        meet = np.flatnonzero((self.heads[by[1:]] == self.heads[by[:-1]]) & (self.heads[by[1:]] != 0))
+        upper, lower = by[meet], by[meet + 1]
+        self.above[lower] = self.below[upper] = match(text, self.last_place[upper].astype(np.int64) - 1, self.first_place[lower].astype(np.int64) - 1)
+
+    def statistics(self) -> list[np.ndarray]:
+        """For each part and place, how far the text from there matches another place (copies are), within the part."""
+        out = np.zeros(int(self.first[-1]), np.int32)
+        order = np.argsort(-self.sizes, kind="stable")
+        sizes, at, row, copies = -self.sizes[order], self.first[order] + self.sizes[order] - 1, self.ends[order], self.copies[order]
+        up, down = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        stop = self.starts + self.lengths
+        for done in range(1, int(self.sizes.max(initial=0)) + 1):  # letters from the right, of all parts that have so many
+            n = int(np.searchsorted(sizes, -done, side="right"))
+            row, up, down = row[:n], up[:n], down[:n]
+            run = np.searchsorted(self.starts, row, side="right") - 1
+            begin = self.starts[run]
+            up = np.where(row > begin, up + 1, np.minimum(self.above[run], done))
+            down = np.where(row + copies[:n] < stop[run], down + 1, np.minimum(self.below[run], done))
+            out[at[:n] - (done - 1)] = np.where(copies[:n] > 1, done, np.maximum(up, down))
+            row = self.to[run] + (row - begin)
+        return [out[a : a + n] for a, n in zip(self.first.tolist(), self.sizes.tolist())]
 
     def repeated(self, win: int) -> Iterator[list[tuple[int, int]]]:
         """For each part, the ranges of places from which win bytes occur elsewhere."""
-        long = self.statistics() >= win
-        for k in range(len(self.first) - 1):
-            flag = np.zeros(self.first[k + 1] - self.first[k] + 2, np.int8)
-            flag[1:-1] = long[self.first[k] : self.first[k + 1]]
+        for own in self.statistics():
+            flag = np.zeros(len(own) + 2, np.int8)
+            flag[1:-1] = own >= win
             step = np.diff(flag)
             yield list(zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist()))
 
 
+def suffix_order(text: np.ndarray) -> np.ndarray:
+    """By doubling; places that are told apart drop out."""
+    n, size = len(text), 6
+    key = np.zeros(n, np.int64)
+    padded = np.concatenate([text.astype(np.int64) + 1, np.zeros(size, np.int64)])  # what lies beyond the end is least
+    for k in range(size):
+        key = (key << 9) | padded[k : k + n]
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    key = key[order]
+    new = np.ones(n, bool)
+    new[1:] = key[1:] != key[:-1]
+    del key, padded
+    rank = np.empty(n, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))  # the place of the group's first member
+    while not new.all():
+        alone = new & np.append(new[1:], True)
+        at = np.flatnonzero(~alone).astype(np.int32)
+        own = order[at]
+        beyond = np.where(own.astype(np.int64) + size < n, rank[np.minimum(own.astype(np.int64) + size, n - 1)], -1)
+        group = rank[own]
+        fine = np.argsort(group * np.int64(n + 1) + beyond + 1, kind="stable")
+        order[at], group, beyond = own[fine], group[fine], beyond[fine]
+        told = np.ones(len(at), bool)
+        told[1:] = (group[1:] != group[:-1]) | (beyond[1:] != beyond[:-1])
+        new[at] = told
+        rank[order[at]] = at[np.flatnonzero(told)[np.cumsum(told) - 1]]
+        size *= 2
+    return order
+
+
+def match(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How long the suffixes at a and b agree."""
+    n, step = len(text), 7
+    padded = np.concatenate([text.astype(np.int64), np.full(step, -1, np.int64)])
+    word = np.zeros(n + 1, np.int64)
+    for k in range(step):
+        word = word * 257 + np.concatenate([padded[k : k + n], [-1 - k]])
+    out = np.zeros(len(a), np.int64)
+    open_ = np.arange(len(a))
+    while len(open_):
+        x, y = a[open_] + out[open_], b[open_] + out[open_]
+        whole = (x + step <= n) & (y + step <= n)
+        same = whole & (word[np.minimum(x, n)] == word[np.minimum(y, n)])
+        out[open_[same]] += step
+        for i in open_[~same & ~whole]:
+            while max(a[i], b[i]) + out[i] < n and text[a[i] + out[i]] == text[b[i] + out[i]]:
+                out[i] += 1
+        rest = open_[~same & whole]
+        going = np.ones(len(rest), bool)
+        for _ in range(step):
+            going &= text[np.minimum(a[rest] + out[rest], n - 1)] == text[np.minimum(b[rest] + out[rest], n - 1)]
+            out[rest] += going
+        open_ = open_[same]
+    return out
+
+
 SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 SPANS_DDL = "spans array<struct<a:long,b:long>>"
 
 
 def mark_blocks(batches: Iterator[pa.RecordBatch], win: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, content, data) sorted by key: content and its repeated ranges, block by block; a key is never cut."""
-    keys, contents, parts, held = [], [], [], 0
+    """Rows (key, content, copies, data) sorted by key: content and its repeated ranges, block by block; a key is never cut."""
+    keys, contents, copies, parts, held = [], [], [], [], 0
 
     def done() -> pa.RecordBatch:
-        spans = list(RunIndex(parts).repeated(win))
+        spans = list(RunIndex(parts, copies).repeated(win))
         rows = [(h, c, [{"a": a, "b": b} for a, b in s]) for h, c, s in zip(keys, contents, spans) if s]
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], SPANS)], ["key", "content", "spans"])
 
     for batch in batches:
-        for h, c, data in zip(batch["key"].to_pylist(), batch["content"].to_pylist(), batch["data"].to_pylist()):
+        for h, c, n, data in zip(*(batch[x].to_pylist() for x in ("key", "content", "copies", "data"))):
             if held >= BLOCK_BYTES and h != keys[-1]:
                 yield done()
-                keys, contents, parts, held = [], [], [], 0
+                keys, contents, copies, parts, held = [], [], [], [], 0
             keys.append(h)
             contents.append(c)
+            copies.append(n)
             parts.append(data)
             held += len(data)
     if parts:
         yield done()
 
 
-def find(docs: DataFrame, text: str, win: int, k: int) -> DataFrame:
-    """rid and spans: ranges (a, b) of window starts whose strings occur elsewhere. docs has rid, the same at each reading."""
-    source = docs.select("rid", F.col(f"`{text}`").alias("text"))
+def find(texts: DataFrame, win: int, strings: list[int]) -> DataFrame:
+    """x, y and spans, ranges (a, b) of window starts whose strings occur elsewhere, of texts (x, y, copies, text).
+
+    x and y name a text and are the same at each reading.  strings: how long the strings of the keys are, at each level.
+    """
+    k, *longer = strings
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in textops.slices(whole, "text"):
-                rids = batch["rid"].to_numpy(zero_copy_only=False)
+                x, y, copies = (batch[c].to_numpy(zero_copy_only=False) for c in ("x", "y", "copies"))
                 for own, key, content, start, windows, again in segments(textops.texts_of(batch["text"]), win, k):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rids[own], key, content, start.astype(np.int64), windows.astype(np.int64), again)], ["rid", "key", "content", "start", "windows", "again"])
+                    columns = [x[own], y[own], copies[own], key, content, start.astype(np.int64), windows.astype(np.int64), again]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["x", "y", "copies", "key", "content", "start", "windows", "again"])
 
-    every = source.mapInArrow(cut_up, "rid long, key long, content long, start long, windows long, again boolean")
-    twice = every.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again")).filter("n > 1 or again").select("key")
+    every = texts.mapInArrow(cut_up, "x long, y long, copies long, key long, content long, start long, windows long, again boolean")
+    twice = every.groupBy("key").agg(F.sum("copies").alias("n"), F.max("again").alias("again")).filter("n > 1 or again").select("key")
     # Tables that are written before a join have an exchange of their own there, so that a hot key can be split.
-    some = cut(every.join(cut(twice, small=True), "key"))
-    each = some.groupBy("key", "content").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again"), F.min(F.struct("rid", "start", "windows")).alias("at"))
-    each = cut(each.select("key", "content", "n", "again", "at.*"))
-    several = each.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.max("again").alias("again"), F.sum(F.col("windows") + (win - 1)).alias("size")).filter("m > 1 or again")
-    todo = each.join(several.select("key", "size"), "key")
-    wanted = todo.groupBy("rid").agg(F.collect_list(F.struct("key", "content", "start", "windows", (F.col("size") > MOST_BYTES).alias("hot"))).alias("parts"))
+    some = cut(every.join(cut(twice, small=True), "key").drop("again"))
+    each = some.groupBy("key", "content").agg(F.sum("copies").alias("copies"), F.min(F.struct("x", "y", "start", "windows")).alias("at"))
+    each = cut(each.select("key", "content", "copies", "at.*"))
+    large = each.groupBy("key").agg(F.sum(F.col("windows") + (win - 1)).alias("size"), F.count(F.lit(1)).alias("m")).filter(f"size > {BLOCK_BYTES} AND m > 1").select("key", F.lit(True).alias("hot"))
+    large = cut(large if longer else large.limit(0), small=True)  # at the last level equal keys are equal windows
+    todo = each.join(large, "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    wanted = todo.groupBy("x", "y").agg(F.collect_list(F.struct("key", "content", "copies", "start", "windows", "hot")).alias("parts"))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
         for whole in batches:
             for batch in textops.slices(whole, "text"):
-                rows = [(p["key"], p["content"], p["hot"], raw[p["start"] : p["start"] + p["windows"] + win - 1]) for raw, own in zip(textops.texts_of(batch["text"]), batch["parts"].to_pylist()) for p in own]
-                names = ["key", "content", "hot", "data"]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.bool_(), pa.binary()))], names)
-
-    parts = cut(source.join(wanted, "rid").select("text", "parts").mapInArrow(take, "key long, content long, hot boolean, data binary"))
-    routed = parts.filter("not hot").select("key", "content", "data").repartition("key").sortWithinPartitions("key")
-    marked = routed.mapInArrow(lambda batches: mark_blocks(batches, win), f"key long, content long, {SPANS_DDL}")
-    marked = marked.unionByName(mark_hot(parts.filter("hot"), win))
-    whole = each.filter("n > 1").select("key", "content", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("windows").alias("b"))).alias("spans"))
-    single = marked.join(each.filter("n > 1").select("key", "content"), ["key", "content"], "left_anti")
-    found = some.join(whole.unionByName(single), ["key", "content"])
+                for raw, own in zip(textops.texts_of(batch["text"]), batch["parts"].to_pylist()):
+                    for first in range(0, len(own), 4096):
+                        rows = [(p["key"], p["content"], p["copies"], p["hot"], raw[p["start"] : p["start"] + p["windows"] + win - 1]) for p in own[first : first + 4096]]
+                        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["key", "content", "copies", "hot", "data"])
+
+    parts = cut(texts.join(wanted, ["x", "y"]).select("text", "parts").mapInArrow(take, "key long, content long, copies long, hot boolean, data binary"))
+    cold = parts.filter("not hot").select("key", "content", "copies", "data")
+    n = tasks_for(cold.agg(F.sum(F.octet_length("data"))).first()[0], TASK_BYTES)
+    marked = cold.repartition(n, "key").sortWithinPartitions("key").mapInArrow(lambda batches: mark_blocks(batches, win), f"key long, content long, {SPANS_DDL}")
+    if not large.isEmpty():
+        again = find(parts.filter("hot").select(F.col("key").alias("x"), F.col("content").alias("y"), "copies", F.col("data").alias("text")), win, longer)
+        marked = marked.unionByName(again.withColumnsRenamed({"x": "key", "y": "content"}))
     ranges = F.transform("spans", lambda s: F.struct((s.a + F.col("start")).alias("a"), (s.b + F.col("start")).alias("b")))
-    return found.groupBy("rid").agg(F.flatten(F.collect_list(ranges)).alias("spans"))
-
-
-def mark_hot(parts: DataFrame, win: int) -> DataFrame:
-    """The same for the parts of keys that are too large for a block: windows meet by their own hashes."""
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for h, c, data in zip(batch["key"].to_pylist(), batch["content"].to_pylist(), batch["data"].to_pylist()):
-                for raw, _, _, offset in pieces([data], win):
-                    one, two = Rolling(raw).every(win), Rolling(raw, 2).every(win)
-                    n = len(one)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(n, h), np.full(n, c), np.arange(n) + offset[0], one.view(np.int64), two.view(np.int64))], ["key", "content", "at", "w1", "w2"])
-
-    every = parts.select("key", "content", "data").mapInArrow(windows, "key long, content long, at long, w1 long, w2 long")
-    twice = every.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w1", "w2")
-    span = F.struct(F.col("at").alias("a"), (F.col("at") + 1).alias("b"))
-    return every.join(cut(twice, small=True), ["w1", "w2"]).groupBy("key", "content").agg(F.sort_array(F.collect_list(span)).alias("spans"))
+    return some.join(cut(marked), ["key", "content"]).groupBy("x", "y").agg(F.flatten(F.collect_list(ranges)).alias("spans"))
 
 
 def covered(spans: list[dict], win: int) -> list[tuple[int, int]]:
@@ -308,7 +342,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None =
     if clash := {*keep} & {*made}:
         raise ValueError(f"columns {sorted(clash)} are in the way")
     rows = numbered(docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").alias("text")))
-    both = rows.join(find(rows, "text", win, k), "rid", "left").drop("rid")
+    texts = rows.select(F.col("rid").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(1).cast("long").alias("copies"), F.col("text").cast("binary").alias("text"))
+    spans = find(texts, win, string_lengths(win, k)).select(F.col("x").alias("rid"), "spans")
+    both = rows.join(spans, "rid", "left").drop("rid")
     ddl = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" if digests else "removed array<struct<a:long,b:long>>, kept binary"
     schema = StructType(both.drop("text", "spans").schema.fields + StructType.fromDDL(ddl).fields)
 
