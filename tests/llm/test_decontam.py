@@ -45,12 +45,14 @@ def tables(spark):
 
 
 @pytest.mark.parametrize("size", [3, 13])
-@pytest.mark.parametrize("block", [16 << 20, 60])
-def test_against_brute_force(tables, monkeypatch, size, block):
-    monkeypatch.setattr(D, "BLOCK_BYTES", block)
+@pytest.mark.parametrize("chunk, broadcast", [(20_000, 8 << 20), (5, 0)])
+def test_against_brute_force(tables, monkeypatch, size, chunk, broadcast):
+    """Windows in one chunk and broadcast, or in many and shuffled."""
+    monkeypatch.setattr(D, "CHUNK_WINDOWS", chunk)
+    monkeypatch.setattr(D, "MOST_BROADCAST", broadcast)
     docs, items, d, b = tables
-    out = D.find(d, b.limit(12) if block == 60 else b, window=size)
-    want = plain(docs, items[:12] if block == 60 else items, size)
+    out = D.find(d, b, window=size)
+    want = plain(docs, items, size)
     rows = out.select("k", "found", D.hit_words(F.col("found")).alias("n")).collect()
     assert len(rows) == len(docs)
     for r in rows:
@@ -58,6 +60,23 @@ def test_against_brute_force(tables, monkeypatch, size, block):
         assert all(a.last < b.first - 1 for a, b in zip(r.found.spans, r.found.spans[1:]))
 
 
+def test_texts_are_read_once(spark, tables, tmp_path):
+    """The index is written in one pass over the texts; what follows reads the index."""
+    docs, _, d, b = tables
+    index = D.build(d, keep=["k"])
+    plan = D.phrases(index, b)._jdf.queryExecution().toString()
+    assert index.rows.count() == len(docs) and "c1" not in index.postings.columns and "text" not in plan
+
+
+def test_clashing_columns(spark, tables):
+    docs, _, d, b = tables
+    odd = d.selectExpr("doc_id", "text", "k AS `a.b`", "1 AS slice", "2 AS ord", "3 AS terms", "4 AS c0", "5 AS spans")
+    for out in (D.find(odd, b), D.find_near(odd, "the of", 5), D.remove_contaminated(odd, b)):
+        rows = out.collect()
+        assert out.columns[:8] == odd.columns and {tuple(r)[3:8] for r in rows} == {(1, 2, 3, 4, 5)}
+        assert all(r["text"] == docs[r["a.b"]] for r in rows)
+
+
 def test_removal_and_empty_tables(tables):
     docs, items, d, b = tables
     want = {k for k, (n, hit, _) in enumerate(plain(docs, items, 13)) if not (hit and 20 * hit >= n)}
@@ -71,8 +90,9 @@ def test_proximity():
     rng = np.random.default_rng(1)
     texts = [" ".join(rng.choice(["p", "q", "r", "s", "t"], 30)).encode() for _ in range(5)]
     found = textops.scan_words(texts, textops.WORD)
-    vocabulary, inverse = np.unique(found.hash, return_inverse=True)
-    index = D.Postings(found, vocabulary)
+    index = D.Postings.unpacked(*D.Postings.made(found).packed())
+    inverse = index.numbers(found.hash)
+    assert all((inverse[index.of(k)] == k).all() for k in range(5)) and index.counts.sum() == 150
     for terms in ([0, 1], [0, 1, 2], [3, 3], [4]):
         for span in (1, 3, 6):
             got = index.near(np.array(terms), span)

@@ -3,6 +3,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from scanloom.llm import line_dedup as L
@@ -36,10 +37,18 @@ def made():
     return rows
 
 
-def test_against_plain(spark):
+@pytest.mark.parametrize("ranges", [8, 40])
+def test_against_plain(spark, ranges):
+    """With many ranges every hash crosses their borders."""
     rows = made()
     df = spark.createDataFrame([(d, t, k, "mine") for k, (d, t) in enumerate(rows)], "doc_id long, text string, k long, pos string")
-    out = L.dedup_lines(df).collect()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(ranges == 8).lower())
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    try:
+        out = L.dedup_lines(df).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
     want = plain(rows)
     assert len(out) == len(rows)
     for r in out:
@@ -64,3 +73,41 @@ def test_empty(spark):
 def test_least_docs(spark, docs):
     df = spark.createDataFrame([(k, LONG[0]) for k in range(docs)], "doc_id long, text string")
     assert sum(r["__n_dropped"] for r in L.dedup_lines(df).collect()) == (4 if docs == 5 else 0)
+
+
+@pytest.mark.parametrize("least", [1, 2, 5])
+@pytest.mark.parametrize("size, ranges", [(1, 1), (3, 1), (1000, 1), (2, 5), (7, 30)])
+def test_stream_decides(spark, least, size, ranges):
+    """Batches and ranges of any size: first documents of hashes stay, if enough documents follow."""
+    rng = random.Random(size * ranges)
+    rows = sorted(((h, 0, d, d, p) for h in range(6) for d in rng.sample(range(12), rng.randint(1, 9)) for p in range(rng.randint(1, 4))), key=lambda r: (r[0], -r[2], r[4]))
+    names, cuts = ["h1", "h2", "doc", "th", "pos"], sorted(rng.sample(range(1, len(rows)), ranges - 1))
+    parts = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)])]
+    batches = [[pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in part[k : k + size]]) for k in range(0, len(part), size)] for part in parts]
+    ends = {}
+    for part, own in enumerate(batches):
+        for r in (r for b in L.borders(iter(own), least, part) for r in b.to_pylist()):
+            ends.setdefault((r["h1"], r["h2"]), set()).add((part, r["doc"]))
+    carried = {k: (max(d for _, d in v), len({d for _, d in v}) >= least) for k, v in ends.items() if len({p for p, _ in v}) > 1}
+    got = [tuple(r.values()) for own in batches for b in L.first_occurrences(iter(own), carried, least) for r in b.to_pylist()]
+    docs = {h: {r[2] for r in rows if r[0] == h} for h in range(6)}
+    assert got == [r[2:] for r in rows if len(docs[r[0]]) >= least and r[2] != max(docs[r[0]])]
+
+
+def test_the_sort_decides(spark, monkeypatch):
+    """Without it the lines that stay are others."""
+    df = spark.createDataFrame([(k, "\n".join(LONG)) for k in range(40)], "doc_id long, text string").repartition(4)
+    want = {r.doc_id: r.text for r in L.dedup_lines(df).collect()}
+    assert want[39] == "\n".join(LONG) and {want[k] for k in range(39)} == {""}
+    kind = type(df)
+    monkeypatch.setattr(kind, "sortWithinPartitions", lambda self, *columns: self)
+    assert {r.doc_id: r.text for r in L.dedup_lines(df).collect()} != want
+
+
+def test_clashing_columns(spark):
+    names = ["doc_id", "text", "bitmap", "th", "own", "c0", "__n_dropped", "a.b", "keep"]
+    df = spark.createDataFrame([(k, "\n".join(LONG), "x", "x", "x", "x", "x", "x", "x") for k in range(6)], names)
+    out = L.dedup_lines(df, n_lines="before", n_dropped="gone")
+    assert out.columns == [*names, "before", "gone"]
+    assert {(*r[2:9], r.gone, r.before) for r in out.collect()} == {("x",) * 7 + (6, 6), ("x",) * 7 + (0, 6)}
+    assert L.dedup_lines(df).columns == [*(n for n in names if n != "__n_dropped"), "__n_lines", "__n_dropped"]
