@@ -5,10 +5,13 @@ gives all tokens that are suffixes of the prefix; of these the one is right that
 last token of what precedes it, that is, whose pair BPE itself would leave as it is.  The last tokens
 are stored and followed back from the end.  A word of n bytes takes O(n) steps, whatever it holds.
 
-The operator maps documents one by one: no shuffle.  Encodings of words are kept in a bounded table in
-each Python worker.  The vocabulary's path is a parameter and must exist on every executor.
+The operator maps documents batch by batch: no shuffle.  A batch's texts are split at white space, each distinct
+chunk is encoded once, and the ids of all chunks are taken from these; ids are decoded by taking the tokens' texts.
+Encodings of chunks are kept in a bounded table in each Python worker.  The vocabulary's path is a parameter and must
+exist on every executor.
 
-Null and empty texts have no ids and decode to the empty string.
+Null and empty texts have no ids and decode to the empty string.  Texts are whole, however long; repeated rows get
+equal results.  Empty tables give empty ones.  Other columns may have any name but those made here.
 """
 
 from __future__ import annotations
@@ -21,13 +24,16 @@ import unicodedata
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.llm import textops
+from scanloom.llm.shared import positional
 
 #: White space in the sense of Unicode.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -43,7 +49,7 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
-def _keep(table: dict, key: str, value: tuple[bytes, bytes], most: int) -> None:
+def _keep(table: dict, key: str, value: bytes, most: int) -> None:
     """Long keys are not kept; a full table starts anew."""
     if len(key) <= KEPT_LENGTH:
         if len(table) >= most:
@@ -88,9 +94,11 @@ class PrefixBpe:
         self.split = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+").findall
         self.specials = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.space = regex.compile(f"[{SPACE}]+")
-        self.tokens = {i: (struct.pack("<I", i), s.encode()) for i, s in self.strings.items()}
-        self.known: dict[str, tuple[bytes, bytes]] = {}
-        self.words: dict[str, tuple[bytes, bytes]] = {}
+        self.odd = regex.compile("[\\x1c-\\x1f]")
+        #: By id, what a token reads, with a space after it.
+        self.spoken = pa.array([self.strings.get(i, "") + " " for i in range(max(self.strings) + 1)], pa.large_string())
+        self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def _units(self, token: str) -> str:
         """One character a byte; the last of a word is marked."""
@@ -139,8 +147,8 @@ class PrefixBpe:
             at -= size_of[at]
         return out[::-1]
 
-    def word(self, word: str) -> tuple[bytes, bytes]:
-        """The ids as little-endian 32-bit integers, and what they decode to."""
+    def word(self, word: str) -> bytes:
+        """The ids as little-endian 32-bit integers."""
         found = self.words.get(word)
         if found is None:
             if word.isascii() and word.isprintable():  # such bytes are their own letters
@@ -148,16 +156,17 @@ class PrefixBpe:
             else:
                 letters = [self.letters[b] for b in word.encode("utf-8", "surrogatepass")]
                 units = "".join(letters[:-1]) + chr(ord(letters[-1]) + MARK)
-            tokens = [self.tokens[i] for i in self.word_ids(units)]
-            found = b"".join([i for i, _ in tokens]), b" ".join([s for _, s in tokens])
+            ids = self.word_ids(units)
+            found = struct.pack(f"<{len(ids)}I", *ids)
             _keep(self.words, word, found, KEPT_WORDS)
         return found
 
-    def chunk(self, chunk: str) -> tuple[bytes, bytes]:
+    def chunk(self, chunk: str) -> bytes:
         """The same for text without white space."""
-        words = [self.word(w) for w in self.split(chunk)]
-        found = words[0] if len(words) == 1 else (b"".join([i for i, _ in words]), b" ".join([s for _, s in words]))
-        _keep(self.known, chunk, found, KEPT_CHUNKS)
+        found = self.known.get(chunk)
+        if found is None:
+            found = b"".join([self.word(w) for w in self.split(chunk)])
+            _keep(self.known, chunk, found, KEPT_CHUNKS)
         return found
 
     def normal(self, text: str) -> str:
@@ -165,22 +174,38 @@ class PrefixBpe:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # letter by letter: no final sigma
         return text.lower()
 
-    def encode(self, text: str) -> tuple[bytes, bytes]:
-        """Ids and decoded text of a whole text, as bytes."""
+    def encode(self, text: str) -> bytes:
+        """Ids of a whole text, special tokens and all."""
         parts = self.specials.split(text) if self.specials and "<" in text else [text]
-        found, chunk, known = [], self.chunk, self.known.get
+        found = []
         for k, part in enumerate(parts):
             if k % 2:
-                found.append((struct.pack("<I", self.special[part]), part.encode()))
+                found.append(struct.pack("<I", self.special[part]))
             else:
-                part = self.normal(part)
-                # Python splits at four control characters more than Unicode has as white space.
-                chunks = self.space.split(part) if any(c in part for c in "\x1c\x1d\x1e\x1f") else part.split()
-                found += [known(w) or chunk(w) for w in chunks if w]
-        return b"".join([i for i, _ in found]), b" ".join([s for _, s in found])
-
-    def decode(self, ids: bytes) -> str:
-        return " ".join(self.strings[i] for (i,) in struct.iter_unpack("<I", ids))
+                found += [self.chunk(w) for w in self.space.split(self.normal(part)) if w]
+        return b"".join(found)
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The same for many texts: each distinct chunk is looked up once."""
+        # Arrow splits at four control characters more than Unicode has as white space.
+        alone = [bool(self.odd.search(t) or ("<" in t and self.specials and self.specials.search(t))) for t in texts]
+        lists = pc.utf8_split_whitespace(pa.array([self.normal(t) for t, a in zip(texts, alone) if not a], pa.large_string()))
+        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+        chunks = lists.values.dictionary_encode()
+        coded = pa.array([self.chunk(w) for w in chunks.dictionary.to_pylist()], pa.large_binary()).take(chunks.indices)
+        bounds = np.frombuffer(coded.buffers()[1], np.int64, len(coded) + 1)[lists.offsets.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(len(lists) + 1, np.int64)
+        data = memoryview(coded.buffers()[2]) if len(coded) and bounds[-1] else memoryview(b"")
+        many = iter([bytes(data[a:b]) for a, b in zip(bounds.tolist(), bounds[1:].tolist())])
+        return [self.encode(t) if a else next(many) for t, a in zip(texts, alone)]
+
+    def decode_all(self, coded: list[bytes]) -> list[str]:
+        """What ids read: the tokens' texts with spaces between them."""
+        ids = np.frombuffer(b"".join(coded), "<u4")
+        said = self.spoken.take(pa.array(ids.astype(np.int64)))
+        first = np.concatenate([[0], np.cumsum([len(x) // 4 for x in coded])]).astype(np.int64)
+        bounds = np.frombuffer(said.buffers()[1], np.int64, len(said) + 1)[first] if len(said) else first
+        data = memoryview(said.buffers()[2]) if len(said) else memoryview(b"")
+        return [str(data[a : max(a, b - 1)], "utf-8") for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
 
 
 @functools.lru_cache(2)
@@ -189,7 +214,7 @@ def loaded(path: str) -> PrefixBpe:
 
 
 def encode(docs: DataFrame, vocabulary: str, column: str = "text", keep: list[str] | None = None, digests: bool = False) -> DataFrame:
-    """The columns keep (default: all), with ids (binary: little-endian 32-bit) and decoded (string).
+    """The columns keep (default: all), with n_tokens, ids (binary: little-endian 32-bit) and decoded (string), decoded from the ids.
 
     With digests, n_tokens, ids_sha256 and decoded_sha256 instead, so that the ids need not leave the worker.
     Columns of the new names must not be kept.
@@ -198,33 +223,34 @@ def encode(docs: DataFrame, vocabulary: str, column: str = "text", keep: list[st
     made = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "ids", "decoded"]
     if clash := {*keep} & {*made}:
         raise ValueError(f"columns {sorted(clash)} are in the way")
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{column}`").alias("__text"))
-    schema = source.drop("__text").schema.add("n_tokens", "long")
+    source = positional(docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{column}`")))
+    *own, raw = source.columns
+    schema = source.drop(raw).schema.add("n_tokens", "long")
     schema = schema.add("ids_sha256", "string").add("decoded_sha256", "string") if digests else schema.add("ids", "binary").add("decoded", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(vocabulary)
         for whole in batches:
-            for batch in textops.slices(whole, "__text"):
-                sizes, first, second = [], [], []
-                for text in batch["__text"].to_pylist():
-                    ids, said = bpe.encode(text or "")
-                    sizes.append(len(ids) // 4)
-                    first.append(hashlib.sha256(ids).hexdigest() if digests else ids)
-                    second.append(hashlib.sha256(said).hexdigest() if digests else said.decode())
-                columns = [batch[c] for c in keep] + [pa.array(sizes, pa.int64()), pa.array(first, pa.string() if digests else pa.binary()), pa.array(second, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, [*keep, *made])
+            for batch in textops.slices(whole, raw):
+                ids = bpe.encode_all([t or "" for t in batch[raw].to_pylist()])
+                said = bpe.decode_all(ids)
+                columns = [pa.array([len(x) // 4 for x in ids], pa.int64())]
+                if digests:
+                    columns += [pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in said])]
+                else:
+                    columns += [pa.array(ids, pa.binary()), pa.array(said, pa.string())]
+                yield pa.RecordBatch.from_arrays([*[batch[c] for c in own], *columns], schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).toDF(*keep, *made)
 
 
-def decode(encoded: DataFrame, vocabulary: str, column: str = "ids") -> DataFrame:
-    """Adds decoded: the text of binary ids."""
+def decode(encoded: DataFrame, vocabulary: str, column: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """Adds decoded: the text of binary ids; null stays null. A column of that name is replaced."""
 
     @F.pandas_udf("string")
     def said(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bpe = loaded(vocabulary)
         for batch in batches:
-            yield batch.map(lambda x: bpe.decode(bytes(x)) if x is not None else None)
+            yield pd.Series(bpe.decode_all([bytes(x or b"") for x in batch]), dtype=object).where(batch.notna().to_numpy(), None)
 
-    return encoded.withColumn("decoded", said(F.col(column)))
+    return encoded.withColumn(decoded, said(F.col(f"`{column}`")))
