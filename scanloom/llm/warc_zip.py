@@ -1,15 +1,16 @@
 """WARC records in ZIP packages: written by partitions, read back by ranges.
 
 A package is a ZIP with two stored members: archive/data.warc.gz, whose records are gzip members of their
-own, and indexes/index.tsv, with a line "offset length" for each record.  The reader takes the end record,
-the ZIP64 locator and directory, finds the members' places, and reads each record by its range; nothing is
-extracted.  Packages are written to and read from any store that Arrow knows by its address, below the
+own, and indexes/index.tsv, with a line "offset length" of fixed width for each record.  The reader takes the
+end record, the ZIP64 locator and directory, finds the members' places, reads a range of the index and each record
+by its range; nothing is extracted, and a package is read by as many tasks as it has chunks of records.  Packages are written to and read from any store that Arrow knows by its address, below the
 folder that all executors share; each task attempt writes files of its own, and only those named by the
 attempt that counted are read.
 
 Equal payloads of at least LEAST_BYTES bytes are stored once: the record with the smallest id is a response,
 the others are revisits.  Null payloads are empty; null ids come after all others; of rows that have one id
-and one payload, the first read is the response.
+and one payload, the first read is the response.  Rows are records of their own, however often they repeat; payloads
+are whole, however long.  Other columns are not written.  An empty table gives no package and no row.
 """
 
 from __future__ import annotations
@@ -28,11 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm.shared import cut, numbered, shared_folder
+from scanloom.llm.shared import cut, numbered, shared_folder, tasks_for
 
 LEAST_BYTES = 100
 PACKAGE_BYTES = 256 << 20
 CHUNK_RECORDS = 2_000
+#: An index line: offset, tab, length, line end.
+INDEX_LINE = "{:016d}\t{:012d}\n"
+INDEX_BYTES = 30
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.tsv"
 NAMES = "urn:x-page:"
 
@@ -128,7 +132,7 @@ def with_originals(pages: DataFrame, page: str, payload: str, least: int) -> Dat
 
 def write(pages: DataFrame, folder: str, page: str = "page_id", url: str = "url", payload: str = "html", least: int = LEAST_BYTES) -> DataFrame:
     """Writes the packages and returns a row for each: path, records. The rows are final, whatever is lost later."""
-    rows = with_originals(numbered(pages.select(page, url, payload), "__row"), page, payload, least).select(F.col(f"`{page}`").alias("page"), F.col(f"`{url}`").alias("url"), "__raw", "__digest", "__original")
+    rows = with_originals(numbered(pages.select(*[F.col(f"`{c}`") for c in (page, url, payload)]), "__row"), page, payload, least).select(F.col(f"`{page}`").alias("page"), F.col(f"`{url}`").alias("url"), "__raw", "__digest", "__original")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, part, package = TaskContext.get(), 0, None
@@ -139,7 +143,7 @@ def write(pages: DataFrame, folder: str, page: str = "page_id", url: str = "url"
             stream, zipped, member, path, index, _ = package
             member.close()
             with zipped.open(zipfile.ZipInfo(INDEX), "w", force_zip64=True) as f:
-                f.write("".join(f"{a}\t{n}\n" for a, n in index).encode())
+                f.write("".join(INDEX_LINE.format(a, n) for a, n in index).encode())
             zipped.close()
             stream.close()
             return pa.RecordBatch.from_pydict({"path": [path], "records": pa.array([len(index)], pa.int64())})
@@ -172,7 +176,8 @@ def read(packages: DataFrame, page_type: str = "long") -> DataFrame:
     The payload of a revisit is null; that of a response must fit its digest.
     """
     chunks = packages.filter("records > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("records") - 1, F.lit(CHUNK_RECORDS).cast("long"))).alias("first"))
-    chunks = chunks.repartition(F.col("path"), F.col("first"))
+    records = packages.agg(F.sum("records")).first()[0]
+    chunks = chunks.repartition(tasks_for(records, CHUNK_RECORDS))  # adaptive execution would put these short rows into one task
     names = ["page", "record_type", "payload_bytes", "payload_digest", "refers_to", "url", "payload"]
     types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
 
@@ -183,7 +188,8 @@ def read(packages: DataFrame, page_type: str = "long") -> DataFrame:
                 with store.open_input_file(own) as file:
                     package = Package(file, file.size())
                     at, size = package.place(INDEX)
-                    index = [tuple(map(int, x.split(b"\t"))) for x in package.read(at, size).splitlines()[first : first + CHUNK_RECORDS]]
+                    a, b = first * INDEX_BYTES, min(size, (first + CHUNK_RECORDS) * INDEX_BYTES)
+                    index = [tuple(map(int, x.split(b"\t"))) for x in package.read(at + a, b - a).splitlines()]
                     at, size = package.place(ARCHIVE)
                     rows, held = [], 0
                     for offset, length in index:
