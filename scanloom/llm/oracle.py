@@ -7,11 +7,11 @@ from scanloom.llm import quality_rules as rules
 SPACE = r"[ \t\n\x0B\f\r]+"
 
 
-def _js(shares: list[str], reference: list[float]) -> str:
+def _js(shares: list[str], reference: list[str]) -> str:
     terms = []
     for p, q in zip(shares, reference):
-        m = f"(({p} + CAST({q!r} AS DOUBLE)) / 2.0)"
-        terms.append(f"(CASE WHEN {p} > 0 THEN {p} * log2({p} / {m}) ELSE 0.0 END) + (CAST({q!r} AS DOUBLE) * log2(CAST({q!r} AS DOUBLE) / {m}))")
+        m = f"(({p} + {q}) / 2.0)"
+        terms.append(f"(CASE WHEN {p} > 0 THEN {p} * log2({p} / {m}) ELSE 0.0 END) + (CASE WHEN {q} > 0 THEN {q} * log2({q} / {m}) ELSE 0.0 END)")
     return "sqrt(greatest((" + " + ".join(terms) + ") / 2.0, 0.0))"
 
 
@@ -20,22 +20,22 @@ def _quote(text: str) -> str:
 
 
 def quality_sql() -> str:
-    refs = rules.references()
-    common = sorted({w for _, words, _ in refs.values() for w in words})
     drop = lambda chars: f"length(t) - length(translate(t, {_quote(chars)}, ''))"
-    hits = ", ".join(f"len(list_filter(words, lambda w: w IN ('{w}', '{w.capitalize()}'))) AS h{k}" for k, w in enumerate(common))
-    near = []
-    for classes, own, shares in refs.values():
-        a = _js([f"(CAST({x} AS DOUBLE) / word_chars)" for x in ("lower_", "upper_", "digit", "punct", "other", "beyond")], classes)
-        names = [f"h{common.index(w)}" for w in own]
-        b = _js([f"(CAST({x} AS DOUBLE) / n_words)" for x in (*names, f"(n_words - ({' + '.join(names)}))")], shares)
-        near.append(
-            f"(SELECT {{'s': coalesce(a, 0.0) + coalesce(b, 0.0), 'a': a, 'b': b}} FROM (SELECT CASE WHEN word_chars >= {rules.LEAST_CHARS} THEN {a} END AS a, CASE WHEN n_words >= {rules.LEAST_WORDS} THEN {b} END AS b))"
-        )
-    near_list = ", ".join(near)
+    hits = ", ".join(f"len(list_filter(words, lambda w: w IN ('{w}', '{w.capitalize()}'))) AS h{k}" for k, w in enumerate(rules.COMMON))
+    classes = ("lower_", "upper_", "digit", "punct", "other", "beyond")
+    refs, near = [], []
+    for lang, own in rules.WORDS.items():
+        names = [f"h{rules.COMMON.index(w)}" for w in own]
+        rest = f"(n_words - ({' + '.join(names)}))"
+        sums = [f"CAST(sum({x}) AS DOUBLE) / sum(word_chars) AS {lang}_c{k}" for k, x in enumerate(classes)] + [f"CAST(sum({x}) AS DOUBLE) / sum(n_words) AS {lang}_w{k}" for k, x in enumerate([*names, rest])]
+        refs.append(f"ref_{lang} AS (SELECT {', '.join(sums)} FROM g10 WHERE NOT base_failed AND lang = '{lang}')")
+        a = _js([f"(CAST({x} AS DOUBLE) / word_chars)" for x in classes], [f"{lang}_c{k}" for k in range(len(classes))])
+        b = _js([f"(CAST({x} AS DOUBLE) / n_words)" for x in [*names, rest]], [f"{lang}_w{k}" for k in range(len(own) + 1)])
+        near.append(f"CASE WHEN {lang}_c0 IS NOT NULL THEN coalesce(CASE WHEN word_chars >= {rules.LEAST_CHARS} THEN {a} END, 0.0) + coalesce(CASE WHEN n_words >= {rules.LEAST_WORDS} THEN {b} END, 0.0) END")
+    joins = "".join(f", ref_{lang}" for lang in rules.WORDS)
     return rf"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
-w AS (SELECT rid, doc_id, t, list_filter(string_split_regex(t, '{SPACE}'), lambda x: x <> '') AS words FROM d),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, doc_id, lang, t, list_filter(string_split_regex(t, '{SPACE}'), lambda x: x <> '') AS words FROM d),
 g AS (
   SELECT rid, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS g
   FROM (SELECT rid, words, unnest(range(1, len(words) - 1)) AS i FROM w)
@@ -47,7 +47,7 @@ l AS (
   FROM (SELECT rid, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^ \t\n\x0B\f\r]') GROUP BY rid
 ),
 m AS (
-  SELECT w.rid, doc_id, t, CAST(len(words) AS BIGINT) AS n_words,
+  SELECT w.rid, doc_id, lang, t, CAST(len(words) AS BIGINT) AS n_words,
     CAST(length(regexp_replace(t, '{SPACE}', '', 'g')) AS BIGINT) AS word_chars,
     CAST({drop(rules.SYMBOLS)} AS BIGINT) AS n_symbols,
     CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words,
@@ -56,9 +56,10 @@ m AS (
   FROM w LEFT JOIN c USING (rid) LEFT JOIN l USING (rid)
 ),
 h AS (SELECT *, greatest(word_chars - lower_ - upper_ - digit - punct - beyond, 0) AS other, {hits} FROM m),
-n AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, list_min([{near_list}]) AS near FROM h)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND coalesce(near.a, 0.0) <= {rules.CLASS_LIMIT} AND coalesce(near.b, 0.0) <= {rules.WORD_LIMIT} AS kept
+g10 AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM h),
+{", ".join(refs)},
+n AS (SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, list_min([{", ".join(near)}]) AS near FROM g10{joins})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(near, 0.0) <= {rules.LIMIT} AS kept
 FROM n
 """
 

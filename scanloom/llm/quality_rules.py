@@ -1,11 +1,17 @@
 """Quality rules on counts, and on the divergence of a document from language references.
 
 Two histograms of a document are compared with each language's reference by the Jensen-Shannon distance
-(base 2, from 0 to 1): classes of characters, and common words against all others.  A document is kept if
-some language is near on both.  Guards: a histogram counts only if it rests on enough characters or words.
+(base 2, from 0 to 1): classes of characters, and common words against all others.  A document is kept if both
+distances to some language add up to LIMIT at most.  Guards: a histogram counts only if it rests on enough characters or
+words, else its distance is null and adds nothing.
 
-Everything is an expression on one row, compiled by the engine: no shuffle, no Python.  Null texts have no
-words.  Ties, repeated rows and extra columns make no difference; columns of the new names are replaced.
+The references are measured, over all documents of a language that pass the base rules; the words are given.  Counts are
+worked out once and written, the references are one row a language, then every document is judged.
+
+Everything is an expression on one row or a sum, compiled by the engine: no Python.  Null texts have no words.  Texts are
+whole, however long.  Ties, repeated rows and extra columns make no difference; columns of the new names are replaced.  A
+null or unknown language adds to no reference; without any reference the base rules alone decide.  An empty table gives
+an empty one.
 """
 
 from __future__ import annotations
@@ -13,33 +19,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Reference shares, in percent, of usual prose.
-#: Of non-space characters: lower a-z, A-Z, 0-9, plain punctuation, other, bytes of UTF-8 beyond one a character.
-CLASS_SHARES = {
-    "en": [94.0, 2.5, 0.5, 2.7, 0.2, 0.1],
-    "de": [88.0, 5.5, 0.5, 2.7, 0.2, 3.1],
-    "fr": [88.5, 2.5, 0.5, 3.0, 0.2, 5.3],
-    "es": [90.0, 2.5, 0.5, 2.7, 0.2, 4.1],
-}
-#: Of words.
-WORD_SHARES = {
-    "en": {"the": 6.0, "of": 3.0, "and": 2.9, "to": 2.6, "in": 2.2, "a": 2.2},
-    "de": {"der": 3.2, "die": 3.2, "und": 2.8, "in": 1.8, "den": 1.1, "von": 1.1},
-    "fr": {"de": 5.0, "la": 3.0, "le": 2.8, "et": 2.4, "les": 2.0, "des": 1.8},
-    "es": {"de": 5.5, "la": 3.6, "que": 2.9, "el": 2.8, "en": 2.6, "y": 2.5},
+from scanloom.llm.shared import positional, stored
+
+# Twelve very common words of each language.
+WORDS = {
+    "en": ["the", "of", "and", "to", "a", "in", "is", "that", "it", "for", "was", "on"],
+    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "sich", "mit", "des", "auf"],
+    "fr": ["de", "la", "le", "et", "les", "en", "des", "un", "du", "une", "que", "est"],
+    "es": ["de", "la", "que", "el", "en", "y", "los", "se", "las", "del", "un", "por"],
 }
+COMMON = sorted({w for words in WORDS.values() for w in words})
+#: Classes of characters other than white space: the last is bytes of UTF-8 beyond one a character.
+CLASSES = ["lower", "upper", "digit", "punctuation", "other", "beyond"]
 PUNCTUATION = ".,;:!?'\"-()"
 SYMBOLS = "#*$%&|<>"
 UPPER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 SPACES = " \t\n\x0b\x0c\r"
 
-CLASS_LIMIT = 0.30
-WORD_LIMIT = 0.40
-#: Of the sum of both distances; a text without any common word has a word distance of only 0.26 to 0.33.
-BOTH_LIMIT = 0.43
+#: Of the sum of both distances.
+LIMIT = 0.42
+MADE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept"]
 LEAST_CHARS = 200
 LEAST_WORDS = 50
 
+#: By language: shares of the classes, the words, and shares of these and of all other words.
+References = dict[str, tuple[list[float], list[str], list[float]]]
+
 
 def let(value: Column, use) -> Column:
     """use(value), with the value worked out once."""
@@ -50,10 +55,6 @@ def count_of(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
-def times(words: Column, word: str) -> Column:
-    return F.size(F.filter(words, lambda w: (w == word) | (w == word.capitalize())))
-
-
 def split_words(text: Column) -> Column:
     return F.filter(F.split(text, r"[ \t-\r]+"), lambda w: w != "")
 
@@ -100,59 +101,76 @@ def js_distance(shares: list[Column], reference: list[float]) -> Column:
     return F.sqrt(F.greatest(total / F.lit(2.0), F.lit(0.0)))
 
 
-def references() -> dict[str, tuple[list[float], list[str], list[float]]]:
-    """By language: shares of the character classes, common words, shares of these and of all other words."""
-    out = {}
-    for lang, classes in CLASS_SHARES.items():
-        words = WORD_SHARES[lang]
-        shares = [x / 100 for x in words.values()]
-        out[lang] = ([x / sum(classes) for x in classes], [*words], [*shares, 1 - sum(shares)])
-    return out
-
-
-def score(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance and kept.
-
-    The distances are those of the nearest language (the least sum of both); they are null where a guard holds.
-    """
-    refs = references()
-    common = sorted({w for _, words, _ in refs.values() for w in words})
-    docs = docs.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
-    docs = docs.withColumn("__words", split_words(F.col("__text")))
-    t, words = F.col("__text"), F.col("__words")
-    hits = let(F.filter(words, lambda w: w.isin([x for c in common for x in (c, c.capitalize())])), lambda a: F.array(*[times(a, c) for c in common]))
+def counted(docs: DataFrame, text: Column, lang: Column, keep: list[str]) -> DataFrame:
+    """The columns keep, lang, the counts of the base rules, base_failed, classes and hits (of COMMON), all as numbers of one row."""
+    docs = docs.select(*[F.col(c) for c in keep], lang.alias("lang"), F.coalesce(text, F.lit("")).alias("t"))
+    docs = docs.withColumn("words", split_words(F.col("t")))
+    t, words = F.col("t"), F.col("words")
+    some = F.transform(F.filter(words, lambda w: w.isin([x for c in COMMON for x in (c, c.capitalize())])), F.lower)
     docs = docs.withColumns(
         {
             "n_words": F.size(words).cast("long"),
             "word_chars": F.length(F.regexp_replace(t, r"[ \t-\r]+", "")).cast("long"),
             "n_dup_lines": repeated_lines(t),
             "n_repeat_words": repeated_words(words),
-            "__rest": F.regexp_replace(t, r"[a-z \t-\r]+", ""),
-            "__beyond": F.octet_length(t) - F.length(t),
-            "__hits": hits,
+            "rest": F.regexp_replace(t, r"[a-z \t-\r]+", ""),
+            "beyond": (F.octet_length(t) - F.length(t)).cast("long"),
+            "hits": let(some, lambda a: F.array(*[F.size(a) - F.size(F.array_remove(a, c)) for c in COMMON])),
         }
-    ).drop("__words", "__text")
-    rest, beyond, n_chars = F.col("__rest"), F.col("__beyond"), F.col("word_chars")
-    docs = docs.withColumns({"n_symbols": count_of(rest, SYMBOLS).cast("long"), "__classes": F.array(n_chars - F.length(rest), *[count_of(rest, x).cast("long") for x in (UPPER, DIGITS, PUNCTUATION)])}).drop("__rest")
-    lower, upper, digit, punct = (F.get(F.col("__classes"), F.lit(k)) for k in range(4))
-    other = F.greatest(n_chars - lower - upper - digit - punct - beyond, F.lit(0))
-    class_shares = [x / n_chars for x in (lower, upper, digit, punct, other, beyond)]
+    ).drop("words", "t")
+    rest, beyond, n = F.col("rest"), F.col("beyond"), F.col("word_chars")
+    docs = docs.withColumns({"n_symbols": count_of(rest, SYMBOLS).cast("long"), "some": F.array(n - F.length(rest), *[count_of(rest, x).cast("long") for x in (UPPER, DIGITS, PUNCTUATION)])}).drop("rest")
+    lower, upper, digit, punct = (F.get(F.col("some"), F.lit(k)) for k in range(4))
+    other = F.greatest(n - lower - upper - digit - punct - beyond, F.lit(0))
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return docs.withColumns({"classes": F.array(lower, upper, digit, punct, other, beyond), "base_failed": failed}).drop("some", "beyond")
+
+
+def measure(counts: DataFrame) -> References:
+    """The references, from counted documents: a row for each language that WORDS has comes to the driver."""
+    good = counts.filter(F.col("lang").isin(*WORDS) & ~F.col("base_failed"))
+    sums = [F.sum(F.get(F.col("classes"), F.lit(k))).alias(f"class{k}") for k in range(len(CLASSES))]
+    sums += [F.sum(F.get(F.col("hits"), F.lit(k))).alias(f"hits{k}") for k in range(len(COMMON))]
+    out: References = {}
+    for r in good.groupBy("lang").agg(F.sum("n_words").alias("n_words"), F.sum("word_chars").alias("word_chars"), *sums).collect():
+        hits = [r[f"hits{COMMON.index(w)}"] for w in WORDS[r.lang]]
+        out[r.lang] = ([r[f"class{k}"] / r.word_chars for k in range(len(CLASSES))], WORDS[r.lang], [x / r.n_words for x in (*hits, r.n_words - sum(hits))])
+    return dict(sorted(out.items()))
+
+
+def language_references(docs: DataFrame, text: str = "text", lang: str = "lang") -> References:
+    """The references that these documents give."""
+    own = positional(docs)
+    return measure(counted(own, F.col(f"c{docs.columns.index(text)}"), F.col(f"c{docs.columns.index(lang)}"), []))
+
+
+def judged(counts: DataFrame, references: References) -> DataFrame:
+    """Adds class_distance and word_distance, those of the nearest language (the least sum of both), and kept."""
+    n, chars = F.col("n_words"), F.col("word_chars")
     distances = []
-    for classes, own, shares in refs.values():
-        n = [F.get(F.col("__hits"), F.lit(common.index(w))) for w in own]
-        rest = F.col("n_words") - sum(n[1:], n[0])
-        word_shares = [x / F.col("n_words") for x in (*n, rest)]
-        a = F.when(n_chars >= LEAST_CHARS, js_distance(class_shares, classes))
-        b = F.when(F.col("n_words") >= LEAST_WORDS, js_distance(word_shares, shares))
+    for classes, words, shares in references.values():
+        hits = [F.get(F.col("hits"), F.lit(COMMON.index(w))) for w in words]
+        a = F.when(chars >= LEAST_CHARS, js_distance([F.get(F.col("classes"), F.lit(k)) / chars for k in range(len(CLASSES))], classes))
+        b = F.when(n >= LEAST_WORDS, js_distance([x / n for x in (*hits, n - sum(hits[1:], hits[0]))], shares))
         distances.append(F.struct((F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0))).alias("sum"), a.alias("a"), b.alias("b")))
-    docs = docs.withColumns({"__near": F.array_min(F.array(*distances)), "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))})
-    docs = docs.withColumns({"class_distance": F.col("__near.a"), "word_distance": F.col("__near.b")})
-    verdict = (F.coalesce(F.col("class_distance"), F.lit(0.0)) <= CLASS_LIMIT) & (F.coalesce(F.col("word_distance"), F.lit(0.0)) <= WORD_LIMIT)
-    return docs.withColumn("kept", ~F.col("base_failed") & verdict).drop("__classes", "__hits", "__beyond", "__near")
-
-
-def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents that pass, and are near some language by the sum of both distances too, with their own columns."""
-    inner = docs.select(F.struct("*").alias("__row"), F.col(f"`{text}`").alias("text"))
-    # The row number keeps the filter above the scores: pushed into them, it would work them out many times over.
-    return score(inner).withColumn("__at", F.monotonically_increasing_id()).filter(f"kept AND coalesce(class_distance + word_distance, 0) <= {BOTH_LIMIT} AND __at >= 0").select("__row.*")
+    none = F.lit(None).cast("struct<sum:double,a:double,b:double>")
+    near = counts.withColumn("near", F.array_min(F.array(*distances)) if distances else none)
+    kept = ~F.col("base_failed") & (F.coalesce(F.col("near.sum"), F.lit(0.0)) <= LIMIT)
+    return near.withColumns({"class_distance": F.col("near.a"), "word_distance": F.col("near.b"), "kept": kept}).drop("near")
+
+
+def score(docs: DataFrame, text: str = "text", lang: str = "lang", keep: list[str] | None = None, references: References | None = None) -> DataFrame:
+    """The columns keep (default: all) of all documents, with the columns MADE. Without references they are measured."""
+    names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in MADE]
+    own = [f"c{docs.columns.index(c)}" for c in names]
+    at = lambda c: F.col(f"c{docs.columns.index(c)}")
+    counts = stored(counted(positional(docs), at(text), at(lang), own), "counts")
+    return judged(counts, measure(counts) if references is None else references).select(*own, *MADE).toDF(*names, *MADE)
+
+
+def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", references: References | None = None) -> DataFrame:
+    """The documents that are kept, with their own columns. Without references they are measured on these documents."""
+    own = positional(docs)
+    at = lambda c: F.col(f"c{docs.columns.index(c)}")
+    counts = stored(counted(own, at(text), at(lang), own.columns), "counts")
+    return judged(counts, measure(counts) if references is None else references).filter("kept").select(*own.columns).toDF(*docs.columns)

@@ -93,7 +93,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality_rules.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = quality_rules.score(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
