@@ -1,11 +1,11 @@
 """Benchmark passages in training documents, found by a distributed positional inverted index.
 
 The index is written once, by slices: ranges of about SLICE_BYTES of documents, each with its sorted terms, their
-counts and their ascending places (as differences).  The benchmark is the query set, as distinct windows of terms.  The
-counts of the windows' terms in all slices tell each window's rarest term; a window is sent to the slices that hold
-that term.  There it is found by intersecting offset-adjusted postings, from the rarest term of the slice on.  So texts
-are read once however large the benchmark is, and slices only for the windows that they may hold.  Windows come to a
-slice in chunks of CHUNK_WINDOWS at most; what is small by a check of its size is broadcast, else it is shuffled.
+counts and their ascending places (as differences).  The benchmark is the query set, as distinct windows of terms.  If
+these are small, by a check of their size, every slice gets all of them.  Else the counts of the windows' terms in all
+slices tell each window's rarest term, and a window is sent to the slices that hold that term, in chunks of
+CHUNK_WINDOWS at most.  In a slice a window is found by intersecting offset-adjusted postings, from the slice's rarest
+term on.  So texts are read once however large the benchmark is.
 
 Terms are 64-bit hashes of words: two words of a vocabulary of a billion that any window asks for are taken for each
 other with a chance of 1e-7 for a benchmark of a thousand words, and windows of several words need several such pairs.
@@ -225,15 +225,19 @@ FOUND = T.StructType(
 )
 
 
-def _search(postings: Postings, windows: list[list[int]]) -> dict[int, tuple[list[tuple[int, int]], list[list[int]]]]:
+def by_size(windows: list[list[int]]) -> list[np.ndarray]:
+    """The windows of each length, a row each."""
+    sizes = np.array([len(w) for w in windows])
+    return [np.array([windows[k] for k in np.flatnonzero(sizes == size)], np.int64) for size in np.unique(sizes)]
+
+
+def _search(postings: Postings, windows: list[np.ndarray]) -> dict[int, tuple[list[tuple[int, int]], list[list[int]]]]:
     """By text: spans (first, last) of words in windows that occur, and those windows."""
     out: dict[int, tuple[list, list]] = {}
-    sizes = np.array([len(w) for w in windows])
-    for size in np.unique(sizes).tolist():
-        own = np.flatnonzero(sizes == size)
-        terms = postings.numbers(np.array([windows[k] for k in own], np.int64).view(np.uint64))
-        for k, numbers in zip(own[(terms >= 0).all(axis=1)].tolist(), terms[(terms >= 0).all(axis=1)]):
-            places = postings.phrase(numbers)
+    for own in windows:
+        size, terms = own.shape[1], postings.numbers(own.view(np.uint64))
+        for k in np.flatnonzero((terms >= 0).all(axis=1)).tolist():
+            places = postings.phrase(terms[k])
             texts = postings.text_of(places)
             edges = [0, *(np.flatnonzero(np.diff(texts)) + 1).tolist(), len(texts)] if len(texts) else []
             for a, b in zip(edges, edges[1:]):
@@ -242,7 +246,7 @@ def _search(postings: Postings, windows: list[list[int]]) -> dict[int, tuple[lis
                 new = np.flatnonzero(np.append(True, np.diff(at) > size))
                 last = np.append(at[new[1:] - 1], at[-1]) + size - 1
                 spans += zip(at[new].tolist(), last.tolist())
-                found.append(windows[k])
+                found.append(own[k].tolist())
     return out
 
 
@@ -250,15 +254,20 @@ def phrases(index: Index, benchmark: DataFrame, item: str = "item_id", text: str
     """slice, ord, n_words, spans of hit words and items, of the documents in which windows of items occur."""
     items = windows_of(benchmark, item, text, window)
     windows = cut(items.select("terms").distinct())
-    chunks = tasks_for(windows.count(), CHUNK_WINDOWS)
-    probes = rarest(index, windows).withColumn("chunk", F.pmod(F.xxhash64("terms"), F.lit(chunks)))
-    asked = cut(probes.groupBy("slice", "chunk").agg(F.collect_list("terms").alias("windows")))
+    meet, every = index.postings, None
+    if (windows.agg(F.sum(8 * F.size("terms") + 16)).first()[0] or 0) <= MOST_BROADCAST:
+        every = index.postings.sparkSession.sparkContext.broadcast(by_size([r.terms for r in windows.collect()]))
+    else:
+        chunks = tasks_for(windows.count(), CHUNK_WINDOWS)
+        probes = rarest(index, windows).withColumn("chunk", F.pmod(F.xxhash64("terms"), F.lit(chunks)))
+        asked = cut(probes.groupBy("slice", "chunk").agg(F.collect_list("terms").alias("windows")))
+        meet = meet.join(asked, "slice").select("slice", *POSTINGS, "windows")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 postings = Postings.unpacked(*(batch[c][k].as_buffer() for c in POSTINGS))
-                found = _search(postings, batch["windows"][k].as_py())
+                found = _search(postings, by_size(batch["windows"][k].as_py()) if every is None else every.value)
                 at = sorted(found)
                 columns = [
                     pa.array([batch["slice"][k].as_py()] * len(at), pa.int64()),
@@ -269,8 +278,6 @@ def phrases(index: Index, benchmark: DataFrame, item: str = "item_id", text: str
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["slice", "ord", "n_words", "spans", "windows"])
 
-    size = F.aggregate("windows", F.lit(16).cast("long"), lambda n, w: n + 8 * F.size(w) + 8)
-    meet = index.postings.join(small(asked, size), "slice").select("slice", *POSTINGS, "windows")
     found = cut(meet.mapInArrow(search, f"slice long, ord int, n_words long, {SPANS_DDL}, windows array<array<long>>"))
     named = found.select("slice", "ord", F.explode("windows").alias("terms")).join(items, "terms").groupBy("slice", "ord").agg(F.collect_set("item").alias("items"))
 
