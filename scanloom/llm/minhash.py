@@ -10,10 +10,12 @@ band) it is counted how many of its shingles no other such class has.  That boun
 pair from above, so classes with too many of their own are out, and of the others those with the fewest lead
 their buckets.  Members are verified against the leader they meet most often, and where a bucket then still
 holds several components, against the centre of its leader's.  Where components then remain, members outside
-the centre's meet the others of that centre, compared by what they differ in from it, in bounded cells.  Links are confirmed on full sets (64-bit hashes of shingles).  Nothing is capped, and
-no bucket is spread out into its pairs.
+the centre's meet those of that centre, compared by what they differ in from it, in bounded cells, unless what only
+their components have tells that they cannot be linked.  Links are confirmed on full sets (64-bit hashes of shingles).
+Nothing is capped, and no bucket is spread out into its pairs.
 
-Empty sets are linked with nothing.  Rows are documents of their own; a null doc_id counts as the largest.
+Empty sets (null and empty texts) are linked with nothing.  Texts are whole, however long.  Rows are documents of their
+own; a null doc_id counts as the largest.  Empty tables give empty ones; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from scanloom.llm import textops
 from scanloom.llm.graph import components
-from scanloom.llm.shared import cut, numbered
+from scanloom.llm.shared import cut, fresh, numbered, tasks_for
 
 BANDS, ROWS = 40, 5
 T = BANDS * ROWS
@@ -161,22 +163,50 @@ def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "node long, centre long, n long, n_centre long, shared long, differ binary")
 
 
+def lone_elements(told: DataFrame) -> DataFrame:
+    """centre, node, lone: how many elements of a member's difference no other component's member of that centre has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for centre, node, root, differ in zip(*(batch[c].to_pylist() for c in ("centre", "node", "root")), batch["differ"]):
+                own = np.frombuffer(differ.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([*[pa.array(np.full(len(own), x, np.int64)) for x in (centre, node, root)], pa.array(own)], ["centre", "node", "root", "e"])
+
+    each = told.select("centre", "node", "root", "differ").mapInArrow(run, "centre long, node long, root long, e long")
+    lone = each.groupBy("centre", "e").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x = y").select("centre", "e")
+    return each.join(cut(lone), ["centre", "e"]).groupBy("centre", "node").agg(F.count(F.lit(1)).alias("lone"))
+
+
 def links_by_centre(told: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between components, for members (node, centre, n, n_centre, shared, differ, root, main) of centres.
 
     With d common elements of two members' differences from their centre, the members themselves share
-    shared_x + shared_y - n_centre + d, exactly.  Members outside the centre's component (main) meet all of that
-    centre, in cells of at most about BLOCK by BLOCK; of each member's links to one component, one comes back.
+    shared_x + shared_y - n_centre + d, exactly.  Members of two components differ at least in what only one of these
+    components has: they cannot be linked if their excess, the lone elements beyond the share of their size that links
+    leave, adds up to more than nothing.  So members outside the centre's component (main) meet those of that centre, in
+    cells of at most about BLOCK by BLOCK, but two with an excess over nothing never do, nor those with more than all
+    others can make up for.  Of each member's links to one component, one comes back.
     """
-    sizes = told.groupBy("centre").agg(F.count(F.lit(1)).alias("ny"), F.count(F.when(F.col("root") != F.col("main"), 1)).alias("nx")).filter("nx > 0")
-    parts = lambda n: F.ceil(F.col(n) / BLOCK).cast("long")
-    sizes = cut(sizes.select("centre", parts("nx").alias("bx"), parts("ny").alias("by")), small=True)
-    rows = told.join(sizes, "centre")
-    own = lambda b: F.pmod(F.xxhash64("node"), F.col(b))
-    all_ = lambda b: F.explode(F.sequence(F.lit(0).cast("long"), F.col(b) - 1))
+    mixed = told.groupBy("centre").agg(F.max((F.col("root") != F.col("main")).cast("int")).alias("some")).filter("some = 1").select("centre")
+    told = cut(told.join(cut(mixed, small=True), "centre"))
+    excess = F.lit(100 + percent) * F.coalesce("lone", F.lit(0)) - F.lit(100 - percent) * F.col("n")
+    told = cut(told.join(lone_elements(told), ["centre", "node"], "left").withColumn("excess", excess).drop("lone"))
+    out_, low = F.col("root") != F.col("main"), F.col("excess") <= 0
+    least = told.groupBy("centre").agg(F.min("excess").alias("least_y"), F.min(F.when(out_, F.col("excess"))).alias("least_x"))
+    may_x, may_y = out_ & (F.col("excess") + F.col("least_y") <= 0), F.col("excess") + F.col("least_x") <= 0
+    number = lambda c: F.count(F.when(c, 1))
+    judged = told.join(cut(least, small=True), "centre")
+    sizes = judged.groupBy("centre").agg(number(may_x & low).alias("xl"), number(may_x & ~low).alias("xh"), number(may_y & low).alias("yl"), number(may_y & ~low).alias("yh")).filter("xl + xh > 0 AND yl + yh > 0")
+    parts = lambda n: F.ceil(F.col(n) / BLOCK).cast("long").alias(n)
+    sizes = cut(sizes.select("centre", *[parts(n) for n in ("xl", "xh", "yl", "yh")]), small=True)
+    cells = sizes.agg(F.sum(F.expr("xl * (yl + yh) + xh * yl"))).first()[0]
+    rows = judged.join(sizes, "centre")
+    own = lambda b: F.pmod(F.xxhash64("node"), F.greatest(F.col(b), F.lit(1)))
+    some = lambda n: F.explode(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)))
     kept = ["centre", "node", "n", "n_centre", "shared", "differ", "root"]
-    x = rows.filter("root <> main").select(*kept, F.lit(True).alias("out"), own("bx").alias("cx"), all_("by").alias("cy"))
-    y = rows.select(*kept, F.lit(False).alias("out"), own("by").alias("cy"), all_("bx").alias("cx"))
+    # Blocks of low excess come first, on either side; those of high excess meet only the other side's low ones.
+    x = rows.filter(may_x).select(*kept, F.lit(True).alias("out"), F.when(low, own("xl")).otherwise(F.col("xl") + own("xh")).alias("cx"), some(F.when(low, F.col("yl") + F.col("yh")).otherwise(F.col("yl"))).alias("cy"))
+    y = rows.filter(may_y).select(*kept, F.lit(False).alias("out"), F.when(low, own("yl")).otherwise(F.col("yl") + own("yh")).alias("cy"), some(F.when(low, F.col("xl") + F.col("xh")).otherwise(F.col("xl"))).alias("cx"))
 
     def meet(cell: pd.DataFrame) -> pd.DataFrame:
         x, y = cell[cell["out"]], cell[~cell["out"]].reset_index(drop=True)
@@ -198,7 +228,8 @@ def links_by_centre(told: DataFrame, percent: int) -> DataFrame:
                     found.append((r.node, int(y["node"][k])))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return x.unionByName(y).groupBy("centre", "cx", "cy").applyInPandas(meet, "a long, b long")
+    both = x.unionByName(y).repartition(tasks_for(cells, 2), "centre", "cx", "cy")  # adaptive execution would put cells into tasks by bytes
+    return both.groupBy("centre", "cx", "cy").applyInPandas(meet, "a long, b long")
 
 
 def may_link(na: str, oa: str, nb: str, ob: str, percent: int) -> Column:
@@ -272,8 +303,9 @@ def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: in
 
     Rows with an empty set are components of their own, so all stay.
     """
-    own = numbered(docs)
-    found = cluster(own, doc, text, words, percent)
+    rid = fresh(docs.columns, "rid")
+    own = numbered(docs, rid)
+    found = cluster(own.select(F.col(rid).alias("rid"), F.col(f"`{doc}`").alias("doc"), F.col(f"`{text}`").alias("text")), "doc", "text", words, percent)
     first = found.filter((F.col("n_shingles") > 0) & F.col("doc").eqNullSafe(F.col("component"))).groupBy("component").agg(F.min("rid").alias("rid")).select("rid")
-    kept = first.unionByName(found.filter("n_shingles = 0").select("rid"))
-    return own.join(kept, "rid", "left_semi").drop("rid")
+    kept = first.unionByName(found.filter("n_shingles = 0").select("rid")).select(F.col("rid").alias(rid))
+    return own.join(kept, rid, "left_semi").drop(rid)

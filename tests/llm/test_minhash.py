@@ -76,12 +76,51 @@ def test_against_brute_force(spark, monkeypatch, words, copies, block):
         assert (found[r.rid].n_shingles, found[r.rid].component) == want[r.k], rows[r.k]
 
 
+def family(rng, members, share):
+    """Texts of which any two have about that share of a template in common, and twins and triplets among them."""
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    template, rows = [word() for _ in range(100)], []
+    for k in range(members):
+        own = template[: int(100 * share)] + [word() for _ in range(100 - int(100 * share))]
+        rows.append(" ".join(own))
+        for _ in range(k % 3):
+            own = list(own)
+            own[rng.randrange(int(100 * share), 100)] = word()
+            rows.append(" ".join(own))
+    return rows
+
+
+@pytest.mark.parametrize("block", [512, 5])
+def test_families_below_the_limit_do_not_meet(spark, monkeypatch, block):
+    """Documents of one template are found in one bucket, but what is theirs alone keeps them apart before they meet."""
+    monkeypatch.setattr(M, "BLOCK", block)
+    rng = random.Random(11)
+    rows = [(k, t) for k, t in enumerate(family(rng, 60, 0.8) + family(rng, 20, 0.9))]
+    df = M.numbered(spark.createDataFrame(rows, "doc_id long, text string"))
+    met = []
+    own = M.tasks_for
+    monkeypatch.setattr(M, "tasks_for", lambda work, a_task: met.append(work or 0) or own(work, a_task))
+    found = {r.doc: r.component for r in M.cluster(df, words=2).collect()}
+    assert [(found[k]) for k, _ in rows] == [c for _, c in plain(rows, 2)]
+    assert block > 5 or met[0] < (len(rows) / block) ** 2 / 4
+
+
+def test_registered_query_and_recall(spark):
+    """Of all true links of every 50th document, and of all others, none is missed on the smallest table."""
+    from scanloom.llm import queries
+
+    docs = [tuple(r) for r in queries.table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text").collect()]
+    want = {d: w for (d, _), w in zip(docs, plain(docs, 2))}
+    got = queries.op8_minhash(spark, "/root/testdata/sf0.001").collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want and all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
 def test_keep_one(spark):
     rows = made(9, 30)
     want = plain(rows, 5)
-    df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, th string")
+    df = spark.createDataFrame([(d, t, "x", 1, 2) for d, t in rows], "doc_id long, text string, th string, rid int, `a.b` int")
     kept = M.keep_one(df)
-    assert kept.columns == df.columns
+    assert kept.columns == df.columns and {(r.rid, r["a.b"]) for r in kept.collect()} == {(1, 2)}
     groups = {c for n, c in want if n}
     got = kept.collect()
     assert len([r for r in got if shingles(r.text, 5)]) == len(groups)
