@@ -9,6 +9,9 @@ are weighted by similarity.  Documents are not shuffled.
 The sample is bounded by SAMPLE rows for each label (those with the least hashes of their ids), whatever the
 size of the input; so are the driver's memory and what is broadcast.  Votes are weighted back to the labels'
 shares in all labelled rows.  Documents without three bytes (null and empty ones too) get the share of label 1.
+Texts are whole, however long; repeated rows get equal scores, and of equally near labelled vectors any may vote.  Empty
+documents give an empty table; without labelled rows nothing can be learned, which is an error.  Null labels and ids are
+not learned from.  Other columns may have any name.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from scanloom.llm import textops
+from scanloom.llm.shared import positional
 
 BUCKETS = 4096
 TERMS = BUCKETS + 2
@@ -125,11 +129,14 @@ def fit(docs: DataFrame, labels: DataFrame, doc: str, text: str, label: str) ->
 def score(docs: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
     """All columns and rows, with the score of label 1. A column of that name is replaced."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    out = docs.drop(column)
+    kept = docs.drop(column)
+    out = positional(kept.select("*", F.col(f"`{text}`")))  # the text once more: its own column may be the one that is replaced
+    *own, raw = out.columns
+    schema = StructType([*out.schema.fields[:-1]]).add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in textops.slices(whole, text):
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.score(textops.texts_of(batch[text])), pa.float64())], [*batch.schema.names, column])
+            for batch in textops.slices(whole, raw):
+                yield pa.RecordBatch.from_arrays([*[batch[c] for c in own], pa.array(sent.value.score(textops.texts_of(batch[raw])), pa.float64())], schema.names)
 
-    return out.mapInArrow(run, StructType([*out.schema.fields]).add(column, "double"))
+    return out.mapInArrow(run, schema).toDF(*kept.columns, column)

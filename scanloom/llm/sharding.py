@@ -23,11 +23,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanloom.llm.shared import numbered
+from scanloom.llm.shared import fresh, numbered
 
-#: Slots of a cell, as far as MOST_CELLS allows; larger cells only make the sort within a cell spill.
+#: Slots of a cell, as far as MOST_CELLS allows (a task draws that many numbers some twenty times); larger cells only
+#: make the sort within a cell spill.
 CELL_ROWS = 2_000
-MOST_CELLS = 6_144
+MOST_CELLS = 1 << 16
+#: Up to so many rows numpy draws the multivariate law.
+NUMPY_ROWS = 10**9 - 1
 PLACE = (1 << 33) - 1
 
 
@@ -57,6 +60,8 @@ def hypergeometric(rng: np.random.Generator, good: int, bad: int, drawn: int) ->
 
 def share(rng: np.random.Generator, room: np.ndarray, drawn: int) -> np.ndarray:
     """Of each cell's room, how much the drawn rows take."""
+    if room.sum() <= NUMPY_ROWS:
+        return rng.multivariate_hypergeometric(room, drawn, method="marginals")
     out, left = np.zeros_like(room), int(room.sum())
     for k, cell in enumerate(room.tolist()):
         left -= cell
@@ -84,11 +89,14 @@ def even(rows: int, parts: int) -> np.ndarray:
 def shuffle_to_shards(rows: DataFrame, shards: int, seed: int = 0, shard: str = "shard", slot: str = "slot") -> DataFrame:
     """All columns and rows, with the shard (from 0) and the slot in it (from 0, without gaps).
 
-    Columns of these names are replaced.  An empty input gives an empty output.  Repeated rows are rows of their own.
+    Columns of these names are replaced, others may have any name.  An empty input gives an empty output.  Rows are
+    dealt by their places alone, so nulls, ties and long texts make no difference; repeated rows are rows of their own.
     """
-    rows = numbered(rows.drop(shard, slot), "__place")
-    rows = rows.withColumn("__from", F.shiftright("__place", 33).cast("int"))
-    counts = rows.groupBy(F.col("__from").alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
+    rows = rows.drop(shard, slot)
+    place, source, cell = (fresh([*rows.columns, shard, slot], c) for c in ("place", "source", "cell"))
+    rows = numbered(rows, place)
+    rows = rows.withColumn(source, F.shiftright(place, 33).cast("int"))
+    counts = rows.groupBy(F.col(source).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
     sizes = np.zeros(max((r.p for r in counts), default=0) + 1, np.int64)
     for r in counts:
         sizes[r.p] = r.n
@@ -96,13 +104,12 @@ def shuffle_to_shards(rows: DataFrame, shards: int, seed: int = 0, shard: str =
     per_shard = even(total, shards)
     cells = max(1, min(MOST_CELLS // shards, -(-int(per_shard[0]) // CELL_ROWS)))
     room = np.concatenate([even(int(n), cells) for n in per_shard])
-    firsts = np.concatenate([np.cumsum(x) - x for x in room.reshape(shards, cells)])
 
     @F.pandas_udf("int")
     def deal(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         held, labels = -1, None
-        for partition, place in batches:
-            source, at = partition.to_numpy(), place.to_numpy() & PLACE
+        for partition, places in batches:
+            source, at = partition.to_numpy(), places.to_numpy() & PLACE
             out = np.empty(len(source), np.int32)
             for own in np.unique(source).tolist():  # a task may read several partitions' rows
                 if own != held:
@@ -113,10 +120,9 @@ def shuffle_to_shards(rows: DataFrame, shards: int, seed: int = 0, shard: str =
                 out[mine] = labels[at[mine]]
             yield pd.Series(out)
 
-    dealt = rows.withColumn("__cell", deal("__from", "__place"))
-    inside = Window.partitionBy("__cell").orderBy(F.xxhash64(F.lit(seed), "__place"), "__place")
-    first = F.get(F.array(*[F.lit(int(x)).cast("long") for x in firsts]), F.col("__cell"))
-    return (
-        dealt.withColumns({shard: F.floor(F.col("__cell") / F.lit(cells)).cast("int"), slot: first + F.row_number().over(inside) - 1})
-        .drop("__cell", "__place", "__from")
-    )
+    dealt = rows.withColumn(cell, deal(source, place))
+    inside = Window.partitionBy(cell).orderBy(F.xxhash64(F.lit(seed), place), place)
+    own, number = F.floor(F.col(cell) / F.lit(cells)).cast("int"), F.col(cell) % F.lit(cells)
+    size = F.lit(total // shards) + F.when(own < total % shards, 1).otherwise(0)
+    first = number * F.floor(size / F.lit(cells)) + F.least(number, size % F.lit(cells))  # slots of the shard's cells before
+    return dealt.withColumns({shard: own, slot: (first + F.row_number().over(inside) - 1).cast("long")}).drop(cell, place, source)

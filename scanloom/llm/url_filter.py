@@ -6,7 +6,8 @@ packed into 64-bit words, and one Shift-And step a byte moves every state of eve
 batch of urls.  Nothing is shuffled; what is broadcast are the rules' masks.
 
 Null urls, and those without "://", have an empty host and path and fit no rule.  Of several rules that
-fit, the longest wins, and of equally long ones the first.
+fit, the longest wins, and of equally long ones the first.  Urls are whole, however long; repeated rows get equal
+verdicts, an empty table gives an empty one.  Columns of the new names are replaced, others stay.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scanloom.llm.shared import fresh
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD_BITS = 64
 
@@ -137,8 +140,7 @@ def judge(urls: DataFrame, rules: list[Rule], column: str = "url", default: str
         raise ValueError("no rules")
     names = F.array(*[F.lit(r.text) for r in rules])
     verdicts = F.array(*[F.lit(r.verdict) for r in rules])
-    out = urls.withColumns({"host": host_of(F.col(column)), "path": path_of(F.col(column))})
-    out = out.withColumn("__rule", longest_rule(F.concat(F.lit("."), "host", "path"), rules))
-    return out.withColumns(
-        {"rule": F.get(names, F.col("__rule")), "verdict": F.coalesce(F.get(verdicts, F.col("__rule")), F.lit(default))}
-    ).drop("__rule")
+    own = fresh([*urls.columns, "host", "path", "rule", "verdict"], "number")
+    url = F.col(f"`{column}`")
+    out = urls.withColumn(own, longest_rule(F.concat(F.lit("."), host_of(url), path_of(url)), rules))
+    return out.withColumns({"host": host_of(url), "path": path_of(url), "rule": F.get(names, F.col(own)), "verdict": F.coalesce(F.get(verdicts, F.col(own)), F.lit(default))}).drop(own)

@@ -42,3 +42,36 @@ def test_votes_are_exact(spark):
         votes = [(max(s, 0) ** K.SHARPNESS * w, y) for s, y, w in near]
         want = (sum(v * y for v, y in votes) + 1e-3 * model.prior) / (sum(v for v, _ in votes) + 1e-3)
         assert abs(want - score) < 1e-4
+
+
+def test_registered_query(spark):
+    """Every score by plain loops over the labelled vectors; held-out rows are not learned from, and come out right."""
+    import zlib
+
+    from scanloom.llm import queries
+
+    data = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text or "" for r in queries.table(spark, data, "documents").select("doc_id", "text").collect()}
+    labels = {r.doc_id: r.quality for r in queries.table(spark, data, "labels").collect()}
+    held_out = {k for k in docs if zlib.crc32(str(k).encode()) % 4 == 2}
+    got = {r.doc_id: r for r in queries.op4_quality_knn(spark, data).collect()}
+    assert got.keys() == docs.keys() and {k for k, r in got.items() if r.held_out} == held_out
+    learned = spark.createDataFrame([(k, v) for k, v in labels.items() if k not in held_out], "doc_id long, quality int")
+    model = K.fit(queries.table(spark, data, "documents"), learned, "doc_id", "text", "quality")
+    assert len(model.labels) == len({*labels} - held_out)
+    for k, text in docs.items():
+        own = model.project(K.term_counts([text.encode()]))[0]
+        near = sorted(((float(own @ v), float(y), float(w)) for v, y, w in zip(model.vectors, model.labels, model.weights)), reverse=True)[: K.NEAREST]
+        votes = [(max(s, 0) ** K.SHARPNESS * w, y) for s, y, w in near]
+        total = sum(v for v, _ in votes)
+        want = (sum(v * y for v, y in votes) + 1e-3 * model.prior) / (total + 1e-3) if total else model.prior
+        assert abs(got[k].score - want) < 1e-3 and got[k].predicted == (got[k].score >= 0.7)
+    right = [got[k].predicted == v for k, v in labels.items() if k in held_out]
+    assert len(right) > 50 and np.mean(right) > 0.95
+
+
+def test_clashing_columns(spark):
+    docs, labels = data(spark)
+    odd = docs.selectExpr("doc_id", "text", "1 AS `a.b`", "2 AS c0", "3 AS Score")
+    out = K.score(odd, K.fit(docs, labels, "doc_id", "text", "quality"), column="verdict")
+    assert out.columns == [*odd.columns, "verdict"] and {tuple(r)[2:5] for r in out.collect()} == {(1, 2, 3)}

@@ -6,7 +6,9 @@ import pytest
 from scanloom.llm import sharding as S
 
 
-def test_matrix_margins_are_exact():
+@pytest.mark.parametrize("most", [S.NUMPY_ROWS, 10])
+def test_matrix_margins_are_exact(monkeypatch, most):
+    monkeypatch.setattr(S, "NUMPY_ROWS", most)
     sizes, room = np.array([5, 0, 17, 1, 9, 3]), np.array([7, 7, 7, 7, 7])
     matrix = np.array([S.matrix_row(sizes, room, p, 3) for p in range(len(sizes))])
     assert (matrix.sum(axis=1) == sizes).all() and (matrix.sum(axis=0) == room).all() and (matrix >= 0).all()
@@ -48,3 +50,11 @@ def test_uniform_and_repeatable(spark):
     assert abs(table - 125).max() < 60
     slots = np.array([a[k][1] for k in range(2000)])
     assert abs(np.corrcoef(np.arange(2000), slots)[0, 1]) < 0.1
+
+
+def test_clashing_columns_and_long_texts(spark):
+    df = spark.createDataFrame([(k, "x" * (2_000_000 if k == 3 else k), 1, 2, 3) for k in range(50)], "doc_id long, text string, place int, cell int, `a.b` int")
+    out = S.shuffle_to_shards(df, 4, seed=1)
+    rows = out.collect()
+    assert out.columns == [*df.columns, "shard", "slot"] and {tuple(r)[2:5] for r in rows} == {(1, 2, 3)}
+    assert {r.doc_id: len(r.text) for r in rows} == {k: 2_000_000 if k == 3 else k for k in range(50)}

@@ -82,3 +82,75 @@ def test_equal_pages(spark, scan, monkeypatch):
         pages = spark.read.parquet(scan).selectExpr("1L AS page_id", "'u' AS url", "text AS html")
         kinds = [r.record_type for r in warc_zip.round_trip(pages).collect()]
     assert sorted(kinds) == ["response"] * 20 + ["revisit"] * 20
+
+
+@pytest.fixture
+def shaken(spark, monkeypatch):
+    """After every job the splits of scans change."""
+    from pyspark.sql import DataFrame, DataFrameWriter
+
+    turn = [0]
+
+    def then_change(kind, name):
+        own = getattr(kind, name)
+
+        def run(*a, **b):
+            out = own(*a, **b)
+            turn[0] += 1
+            spark.conf.set("spark.sql.files.minPartitionNum", str([1, 16, 3, 40][turn[0] % 4]))
+            return out
+
+        monkeypatch.setattr(kind, name, run)
+
+    frame = type(spark.range(1))
+    assert issubclass(frame, DataFrame)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    for kind, name in ((frame, "checkpoint"), (frame, "collect"), (frame, "count"), (frame, "first"), (frame, "isEmpty"), (type(spark.range(1).write), "parquet")):
+        then_change(kind, name)
+    assert issubclass(type(spark.range(1).write), DataFrameWriter)
+    yield turn
+    for name in ("spark.sql.files.minPartitionNum", "spark.sql.files.openCostInBytes"):
+        spark.conf.unset(name)
+
+
+@pytest.fixture(scope="module")
+def forty_files(spark, tmp_path_factory):
+    """documents, benchmark and pages of the smallest tables, in forty files each."""
+    top = f"{tmp_path_factory.mktemp('forty')}"
+    for name in ("documents", "benchmark", "pages"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").repartition(40).write.parquet(f"{top}/{name}.parquet")
+    return top
+
+
+@pytest.mark.parametrize("name", ["op5_suffix_dedup", "op6_decontamination", "op7_warc_zip", "op8_minhash", "op9_line_dedup", "pipeline"])
+def test_results_stay_when_splits_change_between_jobs(spark, shaken, forty_files, name):
+    import corpus_pipeline
+    from scanloom.llm import queries
+
+    query = corpus_pipeline.run if name == "pipeline" else queries.queries()[name]
+    want = sorted(map(str, query(spark, "/root/testdata/sf0.001").collect()))
+    before = shaken[0]
+    got = query(spark, forty_files)
+    assert shaken[0] > before
+    assert sorted(map(str, got.collect())) == want
+
+
+def test_shards_stay_when_splits_change_between_jobs(spark, shaken, forty_files):
+    from scanloom.llm import queries
+
+    rows = queries.op3_sharding(spark, forty_files).collect()
+    slots = {}
+    for r in rows:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and len({r.doc_id for r in rows}) == len(rows)
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1 and len(slots) == 24
+
+
+def test_line_numbers_stay_when_splits_change_between_jobs(spark, shaken, tmp_path):
+    from scanloom.sources.grids import numbered_lines
+
+    spark.range(500).repartitionByRange(9, "id").sortWithinPartitions("id").selectExpr("'line ' || id AS line").write.text(str(tmp_path / "lines"))
+    rows = numbered_lines(spark, str(tmp_path / "lines"))
+    for n in ("1", "30"):
+        spark.conf.set("spark.sql.files.minPartitionNum", n)
+        assert sorted((r.row, r.line) for r in rows.collect()) == [(k, f"line {k}") for k in range(500)]

@@ -55,3 +55,9 @@ def test_no_rules(spark):
 def test_very_long_urls(spark):
     df = spark.createDataFrame([("http://example.com/en/" + "a" * 300_000,), ("http://" + "a." * 100_000 + "net/fr/",)], "url string")
     assert sorted(r.rule for r in U.judge(df, URL_RULES).collect()) == ["example.com/en/", "net/fr/"]
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([("http://x.net/es/", 1, 2, 3)], "url string, number int, `a.b` int, __rule int")
+    out = U.judge(df, URL_RULES)
+    assert out.columns == [*df.columns, "host", "path", "rule", "verdict"] and tuple(out.first())[1:4] == (1, 2, 3)
