@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from scanloom.llm import bpe, decontam, line_dedup, minhash, quality_rules
 from scanloom.llm.queries import VOCABULARY, table
-from scanloom.llm.shared import shared_folder
+from scanloom.llm.shared import fresh, shared_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +23,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents share go; n_chars follows the text. A document stays even if all its lines go."""
-    out = line_dedup.dedup_lines(docs)
-    return out.withColumn("n_chars", F.when(F.col("__n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    before, dropped = fresh(docs.columns, "n_lines"), fresh(docs.columns, "n_dropped")
+    out = line_dedup.dedup_lines(docs, n_lines=before, n_dropped=dropped)
+    return out.withColumn("n_chars", F.when(F.col(dropped) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop(before, dropped)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
