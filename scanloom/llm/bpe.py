@@ -38,8 +38,10 @@ from scanloom.llm.shared import positional
 #: White space in the sense of Unicode.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 MARK = 0x1000
-KEPT_CHUNKS, KEPT_WORDS = 150_000, 300_000
+KEPT_CHUNKS, KEPT_WORDS = 200_000, 600_000
 KEPT_LENGTH = 64
+#: Text that is split at once: the more, the fewer chunks are new.
+SLICE_BYTES = 8 << 20
 
 
 def byte_letters() -> list[str]:
@@ -163,6 +165,8 @@ class PrefixBpe:
 
     def chunk(self, chunk: str) -> bytes:
         """The same for text without white space."""
+        if chunk.isascii() and chunk.isalpha():
+            return self.word(chunk)
         found = self.known.get(chunk)
         if found is None:
             found = b"".join([self.word(w) for w in self.split(chunk)])
@@ -231,7 +235,7 @@ def encode(docs: DataFrame, vocabulary: str, column: str = "text", keep: list[st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(vocabulary)
         for whole in batches:
-            for batch in textops.slices(whole, raw):
+            for batch in textops.slices(whole, raw, SLICE_BYTES):
                 ids = bpe.encode_all([t or "" for t in batch[raw].to_pylist()])
                 said = bpe.decode_all(ids)
                 columns = [pa.array([len(x) // 4 for x in ids], pa.int64())]
