@@ -29,13 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scanloom.llm import textops
-from scanloom.llm.shared import cut, positional, stored, tasks_for
+from scanloom.llm.shared import MOST_BROADCAST, cut, positional, small, stored, tasks_for
 
 WINDOW = 13
 SLICE_BYTES = 1 << 20
 CHUNK_WINDOWS = 20_000
-#: What is broadcast has so many bytes at most.
-MOST_BROADCAST = 8 << 20
 
 
 class Postings:
@@ -173,12 +171,6 @@ def windows_of(benchmark: DataFrame, item: str, text: str, window: int) -> DataF
     return cut(source.mapInArrow(run, "item string, terms array<long>").distinct())
 
 
-def small(table: DataFrame, size: Column) -> DataFrame:
-    """With a hint to broadcast the (written) table if its rows' sizes come to few bytes; else it is joined by shuffles."""
-    total = table.agg(F.sum(size)).first()[0] or 0
-    return F.broadcast(table) if total <= MOST_BROADCAST else table
-
-
 def rarest(index: Index, windows: DataFrame) -> DataFrame:
     """slice and terms: the slices that hold a window's rarest term. Windows with a term that is nowhere are left out."""
     vocabulary = cut(windows.select(F.explode("terms").alias("term")).distinct())
@@ -198,7 +190,7 @@ def rarest(index: Index, windows: DataFrame) -> DataFrame:
     found = index.postings.select("slice", "terms", "counts").mapInArrow(count, "term long, slice long, n long")
     found = cut(found if known is not None else found.join(vocabulary, "term", "left_semi"))
     totals = cut(found.groupBy("term").agg(F.sum("n").alias("total")))
-    each = windows.select("terms", F.explode(F.array_distinct("terms")).alias("term")).join(small(totals, F.lit(16)), "term", "left")
+    each = windows.select("terms", F.explode(F.array_distinct("terms")).alias("term")).join(small(totals, F.lit(16), MOST_BROADCAST), "term", "left")
     least = each.groupBy("terms").agg(F.min(F.struct("total", "term")).alias("least"), F.count(F.lit(1)).alias("n"), F.count("total").alias("known")).filter("n = known")
     return least.select("terms", F.col("least.term").alias("term")).join(found.select("term", "slice"), "term").select("slice", "terms")
 
@@ -298,7 +290,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     index = build(docs, text, [c for c in (docs.columns if keep is None else keep) if c != found])
     hits = cut(phrases(index, benchmark, item, item_text, window).drop("n_words"))
     size = 16 * F.size("spans") + F.aggregate("items", F.lit(24), lambda n, x: n + F.length(x) + 8)
-    both = index.rows.join(small(hits, size), ["slice", "ord"], "left")
+    both = index.rows.join(small(hits, size, MOST_BROADCAST), ["slice", "ord"], "left")
     empty = [F.coalesce(c, F.array().cast(FOUND[c].dataType)).alias(c) for c in ("spans", "items")]
     return both.select(*[f"c{k}" for k in range(len(index.names))], F.struct("n_words", *empty)).toDF(*index.names, found)
 
@@ -322,7 +314,7 @@ def find_near(docs: DataFrame, words: str, span: int, text: str = "text", near:
                 yield pa.RecordBatch.from_arrays([pa.array([batch["slice"][k].as_py()] * len(rows), pa.int64()), pa.array([*rows], pa.int32()), pa.array([*rows.values()], SPANS)], ["slice", "ord", "spans"])
 
     hits = cut(index.postings.mapInArrow(run, f"slice long, ord int, {SPANS_DDL}"))
-    both = index.rows.join(small(hits, 16 * F.size("spans") + 12), ["slice", "ord"], "left")
+    both = index.rows.join(small(hits, 16 * F.size("spans") + 12, MOST_BROADCAST), ["slice", "ord"], "left")
     return both.select(*[f"c{k}" for k in range(len(index.names))], F.coalesce("spans", F.array().cast(FOUND["spans"].dataType))).toDF(*index.names, near)
 
 
@@ -340,5 +332,5 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text
     index = build(docs, text)
     hits = phrases(index, benchmark)
     gone = cut(hits.filter(is_contaminated(F.struct("n_words", "spans"))).select("slice", "ord"))
-    kept = index.rows.join(small(gone, F.lit(12)), ["slice", "ord"], "left_anti")
+    kept = index.rows.join(small(gone, F.lit(12), MOST_BROADCAST), ["slice", "ord"], "left_anti")
     return kept.select(*[f"c{k}" for k in range(len(index.names))]).toDF(*index.names)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from scanloom.llm import textops
 from scanloom.llm.graph import components
-from scanloom.llm.shared import cut, fresh, numbered, tasks_for
+from scanloom.llm.shared import cut, fresh, numbered, small, tasks_for
 
 BANDS, ROWS = 40, 5
 T = BANDS * ROWS
@@ -96,7 +96,7 @@ def describe(docs: DataFrame, doc: str, text: str, words: int) -> DataFrame:
 
 
 def full_sets(nodes: DataFrame, docs: DataFrame, text: str, words: int) -> DataFrame:
-    """node and its whole set, from the text of the row that stands for the class."""
+    """node and its whole set, from the text of the row that stands for the class. The nodes are written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -104,7 +104,7 @@ def full_sets(nodes: DataFrame, docs: DataFrame, text: str, words: int) -> DataF
                 yield pa.RecordBatch.from_arrays([batch["node"], pa.array([own.tobytes() for own in sets_of(textops.texts_of(batch["text"]), words)], pa.binary())], ["node", "set"])
 
     texts = docs.select(F.col("rid").alias("node"), F.col(f"`{text}`").alias("text"))
-    return texts.join(nodes, "node").select("node", "text").mapInArrow(run, "node long, set binary")
+    return texts.join(small(nodes, F.lit(8)), "node").select("node", "text").mapInArrow(run, "node long, set binary")
 
 
 def own_shingles(sets: DataFrame) -> DataFrame:
@@ -256,7 +256,7 @@ def cluster(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int
     # Tables that are written before a join have an exchange of their own there, so that a hot key can be split.
     several = cut(keyed.groupBy("h").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("h"), small=True)
     met = cut(keyed.join(several, "h"))
-    sets = cut(full_sets(met.select("node").distinct(), docs, text, words))
+    sets = cut(full_sets(cut(met.select("node").distinct(), small=True), docs, text, words))
 
     own = cut(own_shingles(sets), small=True)
     hits = met.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0))).filter(f"100 * (n - own) >= {percent} * n")

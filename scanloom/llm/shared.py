@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.written import fresh_path, shared_folder
@@ -50,6 +50,16 @@ def numbered(df: DataFrame, rid: str = "rid") -> DataFrame:
     return stored(df.withColumn(rid, F.monotonically_increasing_id()), "numbered")
 
 
+#: What is broadcast has so many bytes at most.
+MOST_BROADCAST = 8 << 20
+
+
+def small(table: DataFrame, size: Column, most: int = MOST_BROADCAST) -> DataFrame:
+    """With a hint to broadcast the (written) table if its rows' sizes come to few bytes; else it is joined by shuffles."""
+    total = table.agg(F.sum(size)).first()[0] or 0
+    return F.broadcast(table) if total <= most else table
+
+
 def tasks_for(work: int | None, a_task: int, most: int = 1 << 15) -> int:
     """How many tasks share some work, so that each gets about so much of it, however much it is.
 
