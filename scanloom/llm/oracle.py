@@ -11,7 +11,7 @@ def _js(shares: list[str], reference: list[str]) -> str:
     terms = []
     for p, q in zip(shares, reference):
         m = f"(({p} + {q}) / 2.0)"
-        terms.append(f"(CASE WHEN {p} > 0 THEN {p} * log2({p} / {m}) ELSE 0.0 END) + (CASE WHEN {q} > 0 THEN {q} * log2({q} / {m}) ELSE 0.0 END)")
+        terms.append(f"((CASE WHEN {p} > 0 THEN {p} * log2({p} / {m}) ELSE 0.0 END) + (CASE WHEN {q} > 0 THEN {q} * log2({q} / {m}) ELSE 0.0 END))")
     return "sqrt(greatest((" + " + ".join(terms) + ") / 2.0, 0.0))"
 
 

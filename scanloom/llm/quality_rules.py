@@ -92,12 +92,14 @@ def repeated_lines(text: Column) -> Column:
     return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
-def js_distance(shares: list[Column], reference: list[float]) -> Column:
-    total = F.lit(0.0)
-    for p, q in zip(shares, reference):
-        m = (p + F.lit(q)) / F.lit(2.0)
-        term = lambda x: F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
-        total = total + term(p) + term(F.lit(q))
+def js_distance(shares: Column, reference: list[float]) -> Column:
+    """Of an array of shares."""
+
+    def term(p: Column, q: Column) -> Column:
+        part = lambda x: F.when(x > 0, x * F.log2(x / ((p + q) / F.lit(2.0)))).otherwise(F.lit(0.0))
+        return part(p) + part(q)
+
+    total = F.aggregate(F.zip_with(shares, F.array(*[F.lit(float(q)) for q in reference]), term), F.lit(0.0), lambda a, x: a + x)
     return F.sqrt(F.greatest(total / F.lit(2.0), F.lit(0.0)))
 
 
@@ -149,12 +151,14 @@ def judged(counts: DataFrame, references: References) -> DataFrame:
     n, chars = F.col("n_words"), F.col("word_chars")
     distances = []
     for classes, words, shares in references.values():
-        hits = [F.get(F.col("hits"), F.lit(COMMON.index(w))) for w in words]
-        a = F.when(chars >= LEAST_CHARS, js_distance([F.get(F.col("classes"), F.lit(k)) / chars for k in range(len(CLASSES))], classes))
-        b = F.when(n >= LEAST_WORDS, js_distance([x / n for x in (*hits, n - sum(hits[1:], hits[0]))], shares))
-        distances.append(F.struct((F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0))).alias("sum"), a.alias("a"), b.alias("b")))
+        own = F.transform(F.array(*[F.lit(COMMON.index(w)) for w in words]), lambda k: F.get(F.col("hits"), k).cast("long"))
+        rest = n - F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a + x)
+        a = F.when(chars >= LEAST_CHARS, js_distance(F.transform("classes", lambda x: x / chars), classes))
+        b = F.when(n >= LEAST_WORDS, js_distance(F.transform(F.concat(own, F.array(rest)), lambda x: x / n), shares))
+        distances.append(F.struct(a.alias("a"), b.alias("b")))
+    with_sum = lambda s: F.struct((F.coalesce(s.a, F.lit(0.0)) + F.coalesce(s.b, F.lit(0.0))).alias("sum"), s.a.alias("a"), s.b.alias("b"))
     none = F.lit(None).cast("struct<sum:double,a:double,b:double>")
-    near = counts.withColumn("near", F.array_min(F.array(*distances)) if distances else none)
+    near = counts.withColumn("near", F.array_min(F.transform(F.array(*distances), with_sum)) if distances else none)
     kept = ~F.col("base_failed") & (F.coalesce(F.col("near.sum"), F.lit(0.0)) <= LIMIT)
     return near.withColumns({"class_distance": F.col("near.a"), "word_distance": F.col("near.b"), "kept": kept}).drop("near")
 

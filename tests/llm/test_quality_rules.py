@@ -97,7 +97,7 @@ def test_no_references(spark):
 def test_distances(spark):
     from pyspark.sql import functions as F
 
-    row = spark.range(1).select(Q.js_distance([F.lit(0.5), F.lit(0.5)], [0.5, 0.5]).alias("same"), Q.js_distance([F.lit(1.0), F.lit(0.0)], [1e-12, 1 - 1e-12]).alias("apart")).first()
+    row = spark.range(1).select(Q.js_distance(F.array(F.lit(0.5), F.lit(0.5)), [0.5, 0.5]).alias("same"), Q.js_distance(F.array(F.lit(1.0), F.lit(0.0)), [1e-12, 1 - 1e-12]).alias("apart")).first()
     assert row.same == 0 and row.apart == pytest.approx(1, abs=1e-6)
 
 
