@@ -54,16 +54,6 @@ def test_shards(spark, duck):
         assert (r.size, r.text_crc32) == (len(raw) + 8, zlib.crc32(raw))
 
 
-def test_pipeline(spark, duck):
-    rows = corpus_pipeline.run(spark, DATA).collect()
-    assert 0 < len(rows) < duck.sql("SELECT count(*) FROM documents").fetchall()[0][0]
-    docs = queries.table(spark, DATA, "documents")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, DATA).checkpoint()
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
-    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in docs.collect())
-
-
 def _features(text):
     """Base verdict, shares of character classes (null if too few) and words, in plain Python."""
     n_words, n_chars, _, _, n_repeat = counts(text)

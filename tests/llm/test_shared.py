@@ -115,19 +115,18 @@ def shaken(spark, monkeypatch):
 
 @pytest.fixture(scope="module")
 def forty_files(spark, tmp_path_factory):
-    """documents, benchmark and pages of the smallest tables, in forty files each."""
+    """documents and benchmark of the smallest tables, in forty files each."""
     top = f"{tmp_path_factory.mktemp('forty')}"
-    for name in ("documents", "benchmark", "pages"):
+    for name in ("documents", "benchmark"):
         spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").repartition(40).write.parquet(f"{top}/{name}.parquet")
     return top
 
 
-@pytest.mark.parametrize("name", ["op5_suffix_dedup", "op6_decontamination", "op7_warc_zip", "op8_minhash", "op9_line_dedup", "pipeline"])
+@pytest.mark.parametrize("name", ["op5_suffix_dedup", "op6_decontamination", "op8_minhash", "op9_line_dedup"])
 def test_results_stay_when_splits_change_between_jobs(spark, shaken, forty_files, name):
-    import corpus_pipeline
     from scanloom.llm import queries
 
-    query = corpus_pipeline.run if name == "pipeline" else queries.queries()[name]
+    query = queries.queries()[name]
     want = sorted(map(str, query(spark, "/root/testdata/sf0.001").collect()))
     before = shaken[0]
     got = query(spark, forty_files)
