@@ -38,10 +38,10 @@ from scanloom.llm.shared import positional
 #: White space in the sense of Unicode.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 MARK = 0x1000
-KEPT_CHUNKS, KEPT_WORDS = 200_000, 600_000
+KEPT_CHUNKS, KEPT_WORDS = 60_000, 250_000
 KEPT_LENGTH = 64
 #: Text that is split at once: the more, the fewer chunks are new.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def byte_letters() -> list[str]:
