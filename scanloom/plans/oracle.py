@@ -64,9 +64,9 @@ COUNTS = """count(*) AS packets, 2 * count(*) AS pixels, CAST(sum(b1 + b2) AS BI
 def pixel_grid(rows: int, m: int, seed: int) -> str:
     """made(r, o, v): the pixels of a seeded random grid."""
     step = "(xor(x, x >> 16) * 73244475) % 4294967296"
-    return f"""p0 AS (SELECT r, o, (r * 1000003 + o * 7919 + {seed}) % 4294967296 AS x FROM (SELECT unnest(range({rows})) AS r), (SELECT unnest(range({m})) AS o)),
-p1 AS (SELECT r, o, {step} AS x FROM p0), p2 AS (SELECT r, o, {step} AS x FROM p1),
-made AS (SELECT r, o, CAST((x >> 16) & 255 AS INT) AS v FROM p2)"""
+    return f"""p0 AS (SELECT r, (r * 1000003 + {seed}) % 4294967296 AS x FROM (SELECT unnest(range({rows})) AS r)),
+p1 AS (SELECT r, {step} AS x FROM p0), p2 AS (SELECT r, {step} AS x FROM p1), p3 AS (SELECT r, o, x + o * 40503 AS y FROM p2, (SELECT unnest(range({m})) AS o)),
+made AS (SELECT r, o, CAST(((xor(y, y >> 15) * 73244475) >> 20) & 255 AS INT) AS v FROM p3)"""
 
 
 SQL: dict[str, str] = {
