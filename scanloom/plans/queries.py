@@ -324,7 +324,7 @@ PACED_M, PACED = 10, 60
 def stream_paced(spark, sf_dir):
     """The first packets of a paced random stream that is drained and stopped after some batches."""
     out = fresh_path(spark, "stream")
-    query = streams.start(streams.paced_packets(spark, PACED_M, 20, seed=3), "parquet", f"{out}/state", path=f"{out}/rows")
+    query = streams.start(streams.paced_packets(spark, PACED_M, 20, seed=3, pixel=G.portable_pixel), "parquet", f"{out}/state", path=f"{out}/rows")
     while query.isActive and (query.lastProgress or {}).get("batchId", -1) < PACED // 20:
         query.awaitTermination(0.1)
     streams.drain(query)
@@ -368,7 +368,7 @@ def segments(spark, sf_dir):
 
 
 def random_grid(spark, sf_dir):
-    return L.filter_lines(G.random_lines(spark, 1000, 130, seed=1), threshold=GRID_TV)
+    return L.filter_lines(G.random_lines(spark, 1000, 130, seed=1, pixel=G.portable_pixel), threshold=GRID_TV)
 
 
 def stdout_lines(spark, sf_dir):

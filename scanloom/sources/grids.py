@@ -14,36 +14,39 @@ from scanloom.written import written
 Source = Callable[[SparkSession, PipelineConfig], DataFrame]
 
 
-def row_base(seed: int, row: Column) -> Column:
-    """A row's 32-bit number, from which its pixels are made. All values stay below 2**63: any engine can follow."""
+Pixel = Callable[[int, Column, Column], Column]
+
+
+def hashed_pixel(seed: int, row: Column, col: Column) -> Column:
+    """A pixel from 0 to 255, by the engine's own hash: the fastest."""
+    return F.pmod(F.xxhash64(F.lit(seed), row, col), F.lit(256)).cast("int")
+
+
+def portable_pixel(seed: int, row: Column, col: Column) -> Column:
+    """A pixel from 0 to 255, by integer arithmetic that any engine can follow: all values stay below 2**63."""
     word = 1 << 32
     x = F.pmod(F.pmod(row.cast("long"), F.lit(word)) * 1_000_003 + F.lit(seed % word), F.lit(word))
     for _ in range(2):
         x = F.pmod(x.bitwiseXOR(F.shiftrightunsigned(x, 16)) * 73_244_475, F.lit(word))
-    return x
-
-
-def hashed_pixel(base: Column, col: Column) -> Column:
-    """A pixel from 0 to 255, in few steps: they are taken for every pixel."""
-    y = base + col * 40_503
+    y = x + col * 40_503
     return F.shiftright(y.bitwiseXOR(F.shiftright(y, 15)) * 73_244_475, 20).bitwiseAND(F.lit(255).cast("long")).cast("int")
 
 
-def random_lines(spark: SparkSession, rows: int, m: int, seed: int = 0) -> DataFrame:
+def random_lines(spark: SparkSession, rows: int, m: int, seed: int = 0, pixel: Pixel = hashed_pixel) -> DataFrame:
     """(row, px): uniform pixels from 0 to 255, the same for the same seed."""
     if m < 2 or m % 2:
         raise ValueError("m must be even and at least 2")
-    made = spark.range(rows).select(F.col("id").alias("row"), row_base(seed, F.col("id")).alias("base"))
-    return made.select("row", F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda c: hashed_pixel(F.col("base"), c)).alias("px"))
+    row = F.col("id")
+    px = F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda c: pixel(seed, row, c))
+    return spark.range(rows).select(row.alias("row"), px.alias("px"))
 
 
-def random_packets(spark: SparkSession, packets: int, m: int, seed: int = 0) -> DataFrame:
+def random_packets(spark: SparkSession, packets: int, m: int, seed: int = 0, pixel: Pixel = hashed_pixel) -> DataFrame:
     """(row, col, v1, v2): packets of the same grid, in order."""
     if m < 2 or m % 2:
         raise ValueError("m must be even and at least 2")
     at = spark.range(packets).select(F.floor(F.col("id") / (m // 2)).alias("row"), (2 * (F.col("id") % (m // 2))).cast("int").alias("c"))
-    base = row_base(seed, F.col("row"))
-    return at.select("row", F.col("c").cast("long").alias("col"), hashed_pixel(base, F.col("c")).alias("v1"), hashed_pixel(base, F.col("c") + 1).alias("v2"))
+    return at.select("row", F.col("c").cast("long").alias("col"), pixel(seed, F.col("row"), F.col("c")).alias("v1"), pixel(seed, F.col("row"), F.col("c") + 1).alias("v2"))
 
 
 def mismatch(m: int) -> Column:

@@ -18,14 +18,14 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from scanloom.functions import kernel as K
-from scanloom.sources.grids import hashed_pixel, row_base
+from scanloom.sources.grids import Pixel, hashed_pixel
 
 
-def paced_packets(spark: SparkSession, m: int, packets_per_batch: int, advance_ms: int = 1000, seed: int = 0) -> DataFrame:
+def paced_packets(spark: SparkSession, m: int, packets_per_batch: int, advance_ms: int = 1000, seed: int = 0, pixel: Pixel = hashed_pixel) -> DataFrame:
     """Random packets (source, row, col, v1, v2), so many a micro-batch; nothing is dropped under load."""
     at = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", packets_per_batch).option("advanceMillisPerBatch", advance_ms).option("numPartitions", 1).load()
     at = at.select(F.lit(0).alias("source"), F.floor(F.col("value") / (m // 2)).alias("row"), (2 * (F.col("value") % (m // 2))).cast("int").alias("c"))
-    return at.select("source", "row", F.col("c").cast("long").alias("col"), hashed_pixel(row_base(seed, F.col("row")), F.col("c")).alias("v1"), hashed_pixel(row_base(seed, F.col("row")), F.col("c") + 1).alias("v2"))
+    return at.select("source", "row", F.col("c").cast("long").alias("col"), pixel(seed, F.col("row"), F.col("c")).alias("v1"), pixel(seed, F.col("row"), F.col("c") + 1).alias("v2"))
 
 
 def filter_row(values: Sequence[int], taps: Sequence[str], threshold: int, policy: str) -> np.ndarray:
