@@ -232,7 +232,7 @@ def encode(docs: DataFrame, vocabulary: str, column: str = "text", keep: list[st
     schema = source.drop(raw).schema.add("n_tokens", "long")
     schema = schema.add("ids_sha256", "string").add("decoded_sha256", "string") if digests else schema.add("ids", "binary").add("decoded", "string")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(vocabulary)
         for whole in batches:
             for batch in textops.slices(whole, raw, SLICE_BYTES):
@@ -245,6 +245,10 @@ def encode(docs: DataFrame, vocabulary: str, column: str = "text", keep: list[st
                     columns += [pa.array(ids, pa.binary()), pa.array(said, pa.string())]
                 yield pa.RecordBatch.from_arrays([*[batch[c] for c in own], *columns], schema.names)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from coded(batches)
+        textops.release()
+
     return source.mapInArrow(run, schema).toDF(*keep, *made)
 
 

@@ -168,7 +168,7 @@ def windows_of(benchmark: DataFrame, item: str, text: str, window: int) -> DataF
                         terms = pa.ListArray.from_arrays(pa.array(np.arange(0, parts.size + 1, size, dtype=np.int32)), pa.array(parts.ravel()))
                         yield pa.RecordBatch.from_arrays([pa.array([name] * len(parts)), terms], ["item", "terms"])
 
-    return cut(source.mapInArrow(run, "item string, terms array<long>").distinct())
+    return cut(source.mapInArrow(run, "item string, terms array<long>").distinct(), small=True)
 
 
 def rarest(index: Index, windows: DataFrame) -> DataFrame:
@@ -245,7 +245,7 @@ def _search(postings: Postings, windows: list[np.ndarray]) -> dict[int, tuple[li
 def phrases(index: Index, benchmark: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """slice, ord, n_words, spans of hit words and items, of the documents in which windows of items occur."""
     items = windows_of(benchmark, item, text, window)
-    windows = cut(items.select("terms").distinct())
+    windows = cut(items.select("terms").distinct(), small=True)
     meet, every = index.postings, None
     if (windows.agg(F.sum(8 * F.size("terms") + 16)).first()[0] or 0) <= MOST_BROADCAST:
         every = index.postings.sparkSession.sparkContext.broadcast(by_size([r.terms for r in windows.collect()]))
@@ -331,6 +331,6 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text
     """The documents that are not contaminated, with their own columns."""
     index = build(docs, text)
     hits = phrases(index, benchmark)
-    gone = cut(hits.filter(is_contaminated(F.struct("n_words", "spans"))).select("slice", "ord"))
+    gone = cut(hits.filter(is_contaminated(F.struct("n_words", "spans"))).select("slice", "ord"), small=True)
     kept = index.rows.join(small(gone, F.lit(12), MOST_BROADCAST), ["slice", "ord"], "left_anti")
     return kept.select(*[f"c{k}" for k in range(len(index.names))]).toDF(*index.names)

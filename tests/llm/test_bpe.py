@@ -8,7 +8,7 @@ import pytest
 import regex
 from tokenizers import Tokenizer
 
-from scanloom.llm import bpe
+from scanloom.llm import bpe, textops
 from scanloom.llm.queries import VOCABULARY
 
 
@@ -77,3 +77,14 @@ def test_dataframe(spark, library):
     assert bpe.encode(df.limit(0), VOCABULARY).collect() == []
     with pytest.raises(ValueError):
         bpe.encode(df.withColumnRenamed("extra", "ids"), VOCABULARY)
+
+
+def test_memory_is_given_back_after_a_task(spark, monkeypatch):
+    df, taken, given = spark.createDataFrame([(1, "some words")], "doc_id long, text string"), [], []
+    own = type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: (taken.append(f), own(self, f, schema))[1])
+    monkeypatch.setattr(textops, "release", lambda: given.append(True))
+    bpe.encode(df, VOCABULARY)
+    out = taken[0](iter([pa.RecordBatch.from_pydict({"c0": [1], "c1": ["some words"], "c2": ["some words"]})]))
+    assert next(out)["n_tokens"].to_pylist() == [2] and not given
+    assert next(out, None) is None and given == [True]
