@@ -159,3 +159,46 @@ def test_digests_and_empty(spark):
     assert S.remove_repeats(df.limit(0)).collect() == []
     with pytest.raises(ValueError):
         S.remove_repeats(df.withColumnRenamed("doc_id", "kept"))
+
+
+def letters(parts):
+    return np.concatenate([np.append(np.frombuffer(p, np.uint8).astype(np.int16) + 1, 0) for p in parts]).astype(np.int16)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_order_and_matches_of_texts_with_much_in_common(seed):
+    """Groups that follow another take over its order: repeats in families, runs of one letter, a text in itself."""
+    rng = random.Random(seed)
+    alphabet = [b"a", b"ab", bytes(range(256)), bytes(range(256)), b"abcdefgh", "é ".encode()][seed]
+    piece = lambda n: bytes(rng.choice(alphabet) for _ in range(n))
+    shared = [piece(rng.randint(30, 200)) for _ in range(4)]
+    parts = [b"".join(rng.choice([piece(rng.randint(0, 9)), rng.choice(shared)]) for _ in range(rng.randint(0, 5))) for _ in range(25)]
+    text = letters(parts)
+    order, listed = S.suffix_order(text), text.tolist()
+    assert order.tolist() == sorted(range(len(text)), key=lambda i: listed[i:])
+    longest = S.match(S.words(text), order[:-1], order[1:], len(text))
+    assert longest.tolist() == [common(listed[a:], listed[b:]) for a, b in zip(order[:-1], order[1:])]
+    most = S.match(S.words(text), order[:-1], order[1:], 20)
+    assert np.minimum(most, 20).tolist() == np.minimum(longest, 20).tolist()
+
+
+def test_work_for_repeated_passages(monkeypatch):
+    """A passage that occurs several times is not sorted anew in each round, and most rows' runs are found without a search."""
+    rng = np.random.default_rng(5)
+    piece = lambda n: bytes(rng.integers(97, 123, n, np.uint8))
+    shared = [piece(700) for _ in range(40)]
+    parts = [piece(30) + s + piece(30) for s in shared for _ in range(3)]
+    n = sum(len(p) + 1 for p in parts)
+    work = Counter()
+    argsort, searchsorted = np.argsort, np.searchsorted
+    monkeypatch.setattr(np, "argsort", lambda x, *a, **k: (work.update(sort=len(x)), argsort(x, *a, **k))[1])
+    monkeypatch.setattr(np, "searchsorted", lambda x, v, *a, **k: (work.update(search=np.size(v)), searchsorted(x, v, *a, **k))[1])
+    S.suffix_order(letters(parts))
+    assert work["sort"] < 3 * n
+    index = S.RunIndex(parts)
+    work.clear()
+    marked = list(index.repeated(400))
+    assert work["search"] < n / 10
+    count = Counter(p[i : i + 400] for p in parts for i in range(len(p) - 399))
+    for p, own in zip(parts, marked):
+        assert [any(a <= i < b for a, b in own) for i in range(len(p) - 399)] == [count[p[i : i + 400]] > 1 for i in range(len(p) - 399)]
